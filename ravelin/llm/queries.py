@@ -7,10 +7,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import mixture, simhash
+from ravelin.llm import mixture, quality, secret_scan, simhash, toxicity, wavelet
 from ravelin.llm.common import table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets_query(table(spark, sf_dir, "documents"))
+
+
+def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.wavelet_query(table(spark, sf_dir, "documents"))
+
+
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture_query(table(spark, sf_dir, "documents"))
 
@@ -22,6 +38,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_quality,
+        op4_toxicity,
+        op5_secrets,
+        op7_wavelet,
         op8_mixture,
         op9_simhash,
     )
