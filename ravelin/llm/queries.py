@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import mixture, quality, secret_scan, simhash, toxicity, wavelet
+from ravelin.llm import mixture, pii, quality, secret_scan, simhash, toxicity, wavelet
 from ravelin.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets_query(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_query(table(spark, sf_dir, "documents"))
+
+
 def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.wavelet_query(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_quality,
         op4_toxicity,
         op5_secrets,
+        op6_pii,
         op7_wavelet,
         op8_mixture,
         op9_simhash,
