@@ -1,4 +1,4 @@
 """Named queries over the driver's tables and the SQL that each must agree with."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ravelin.plans import experiments, relational, sequences  # noqa: F401
+from ravelin.plans.registry import ORACLES, QUERIES  # noqa: F401
