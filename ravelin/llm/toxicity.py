@@ -5,8 +5,8 @@ each weighted by DECAY to the length of both spans, and is normalised to 1 for
 equal strings: letters put in between or left out cost some weight and no more.
 Landmarks (at most `LANDMARKS` words) span a Nyström space; in it a linear
 squared-hinge SVM is trained on labelled sentences as bags of words: of a toxic
-document's sentences the word of highest margin bears witness, of a clean one's
-all words count, the hardest found anew each round. Because Nyström features are
+document's sentences the words that tell the labels apart bear witness, of a clean
+one's all words count, the hardest found anew each round. Because Nyström features are
 linear in the subsequences, the decision folds into one table of weights, so a
 word costs as many lookups as it has subsequences; it is the same number that
 `ssk` gives landmark by landmark (tested). A document's margin is its most toxic
@@ -40,7 +40,7 @@ LANDMARKS = 128
 #: Bound of the labelled sample: so many documents of each label, in the order of
 #: a hash of doc_id, of at most MAX_FIT_CHARS characters (longer ones are scored
 #: whole but not learnt from).
-MAX_EACH = 2500
+MAX_EACH = 1200
 MAX_FIT_CHARS = 20_000
 SPAN, STRIDE = 16, 8
 THRESHOLD = 0.5
@@ -181,8 +181,6 @@ class Machine:
             every = sorted({w for bag in bags for w in bag})
             margin = dict(zip(every, self.margins(every).tolist(), strict=True))
             best = [max(bag, key=lambda w: (margin[w], w), default=None) for bag in bags]
-            seen = set(seeds)
-            positive = seeds + sorted({w for w, y in zip(best, toxic, strict=True) if y and w and w not in seen and good[w] * 20 * n_bad <= bad[w] * n_good})
             hard = sorted({w for w, y in zip(best, toxic, strict=True) if not y and w})
             harder = sorted((w for w in good if margin[w] > -1 and bad[w] * n_good <= 3 * good[w] * n_bad), key=lambda w: (-margin[w], w))[:6000]
             negative = sorted(set(plain) | set(hard) | set(harder))
@@ -197,8 +195,9 @@ class Machine:
         (4 or 5 letters, word starts marked) that is LIFT times as frequent in
         toxic bags and that a likelihood ratio test holds for sure."""
         def groups(word):
-            w = (-1, *word)
-            return {w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1)}
+            w = (32, *word)  # a group is packed into one integer
+            four = [((w[i] * 33 + w[i + 1]) * 33 + w[i + 2]) * 33 + w[i + 3] for i in range(len(w) - 3)]
+            return (*four, *(33**4 + g * 33 + x for g, x in zip(four, w[4:], strict=False)))
 
         of = {w: groups(w) for w in {w for bag in bags for w in bag}}
         bad, good = Counter(), Counter()
@@ -228,7 +227,7 @@ class Machine:
     @staticmethod
     def _spread(words: list, n: int) -> list:
         """Up to n words, the first and then always the one least like those chosen."""
-        words = words[:1500]
+        words = words[:500]
         x = features(words)
         best, out = np.full(len(words), -1.0), []
         at = 0
@@ -267,16 +266,18 @@ class Machine:
         self.table = (self.root @ w[:-1]) @ self.marks.astype(np.float64)
 
     def _curve(self, margin: np.ndarray, toxic: np.ndarray) -> None:
-        a, b = 1.0, 0.0
-        t = np.where(toxic > 0, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((1 - toxic).sum() + 2))
-        m = np.maximum(margin, FLOOR)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-(a * m + b)))
-            g, h = p - t, np.maximum(p * (1 - p), 1e-6)
-            hess = np.array([[(h * m * m).sum() + 1e-3, (h * m).sum()], [(h * m).sum(), h.sum() + 1e-3]])
-            step = np.linalg.solve(hess, np.array([(g * m).sum() + 1e-3 * (a - 1), g.sum()]))
-            a, b = float(np.clip(a - step[0], 0.5, 6)), float(np.clip(b - step[1], -20, 20))
-        self.slope, self.shift = a, b
+        """Slope from a grid and shift by Newton steps, of least log loss."""
+        n1 = toxic.sum()
+        t = np.where(toxic > 0, (n1 + 1) / (n1 + 2), 1 / (len(toxic) - n1 + 2))
+        m, found = np.maximum(margin, FLOOR), []
+        for a in (1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0):
+            b = 0.0
+            for _ in range(100):
+                p = 1 / (1 + np.exp(-(a * m + b)))
+                b -= float(np.clip((p - t).sum() / max((p * (1 - p)).sum(), 1e-6), -1, 1))
+            p = np.clip(1 / (1 + np.exp(-(a * m + b))), 1e-9, 1 - 1e-9)
+            found.append((float(-(t * np.log(p) + (1 - t) * np.log(1 - p)).sum()), a, b))
+        _, self.slope, self.shift = min(found)
 
     def margins(self, strings: list[tuple[int, ...]]) -> np.ndarray:
         """Decision values of words given as codes."""
