@@ -7,13 +7,15 @@ then line number). Different lines join if at most `EDITS` edits apart: a line
 of length n is cut into EDITS + 1 segments, of which one must lie unchanged in
 any partner, so segments are indexed by (number, n, content) and each line probes,
 for every length from its own down to EDITS less, the substrings whose place the
-number of edits on either side allows. Candidates whose counts of a few letters
-differ too far are dropped inside the join; what is left is verified by Spark's
-levenshtein with a bound, a banded comparison (a bit-parallel one cannot be
+number of edits on either side allows. First, semi joins on the keys tell which
+lines have any partner at all, each once, so a group of many alike makes no more
+rows than it has. Only those lines are fetched and joined into pairs; pairs whose
+letter counts differ too far are dropped inside that join, and what is left is
+verified by Spark's levenshtein with a bound, a banded comparison (a bit-parallel one cannot be
 expressed in DataFrame functions; the distances are the same). A line goes if an
 equal or linked one came earlier.
 
-Texts are shuffled once; keys are shuffled as hashes; candidates' texts are found
+Of all lines only hashes are shuffled; the texts of those with partners are found
 again by their hashes, whose set is broadcast only up to `MAX_SENT` and joined by
 shuffle beyond.
 
@@ -32,7 +34,8 @@ EDITS = 2
 MIN_CHARS = 24
 #: Hashes of lines (8 bytes each) that are broadcast at most.
 MAX_SENT = 500_000
-LETTERS = ("e", "n", "t", "r")
+#: Letters that are counted to rule candidates out; any letters do no harm.
+LETTERS = "etanoisrhldcumgbfpwyvkqz"
 
 
 def segments(n: int, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -54,15 +57,16 @@ def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
     return start, k + F.when(F.lit(edits + 1 - i) <= r, 1).otherwise(0)
 
 
-def _index_keys(line: Column, n: Column, edits: int) -> Column:
+def _index_keys(line: Column, n: Column, edits: int) -> list[Column]:
     out = []
     for i in range(edits + 1):
         start, size = _segment(n, i, edits)
         out.append(F.xxhash64(F.lit(i), n, F.substring(line, start + 1, size)))
-    return F.array(*out)
+    return out
 
 
-def _probe_keys(line: Column, n: Column, edits: int) -> Column:
+def _probe_keys(line: Column, n: Column, edits: int) -> list[tuple[int, Column]]:
+    """(characters that the partner has less, key) of every probe."""
     out = []
     for less in range(edits + 1):
         m = n - less
@@ -71,25 +75,32 @@ def _probe_keys(line: Column, n: Column, edits: int) -> Column:
             lo = max(-i, less - (edits - i))
             hi = min(i, less + (edits - i))
             for move in range(lo, hi + 1):
-                out.append(F.struct(F.xxhash64(F.lit(i), m, F.substring(line, start + (move + 1), size)).alias("key"), F.lit(less).alias("less")))
-    return F.array(*out)
+                out.append((less, F.xxhash64(F.lit(i), m, F.substring(line, start + (move + 1), size))))
+    return out
 
 
 def _counts(line: Column) -> Column:
-    """Counts of a few letters, each modulo 256, in one integer."""
-    out = F.lit(0).cast("long")
-    for i, ch in enumerate(LETTERS):
-        c = F.length(line.cast("binary")) - F.length(F.replace(line, F.lit(ch), F.lit("")).cast("binary"))
-        out = out.bitwiseOR(F.shiftleft(F.pmod(c, F.lit(256)).cast("long"), 8 * i))
-    return out
+    """Counts of LETTERS, each modulo 32, twelve to an integer."""
+    out = []
+    for part in range(0, len(LETTERS), 12):
+        packed = F.lit(0).cast("long")
+        for i, ch in enumerate(LETTERS[part : part + 12]):
+            c = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(ch), F.lit("")))
+            packed = packed.bitwiseOR(F.shiftleft(F.pmod(c, F.lit(32)).cast("long"), 5 * i))
+        out.append(packed)
+    return F.array(*out)
 
 
 def _close(a: Column, b: Column, edits: int) -> Column:
-    ok = F.lit(True)
-    for i in range(len(LETTERS)):
-        x, y = (F.shiftright(v, 8 * i).bitwiseAND(F.lit(255)) for v in (a, b))
-        ok = ok & (F.pmod(x - y + edits, F.lit(256)) <= 2 * edits)
-    return ok
+    """False only if the counts differ by more than the edits can make: an edit
+    takes away one letter at most and adds one."""
+    apart = F.lit(0)
+    for part in range(-(-len(LETTERS) // 12)):
+        for i in range(min(12, len(LETTERS) - 12 * part)):
+            x, y = (F.shiftright(F.get(v, part), 5 * i).bitwiseAND(F.lit(31)) for v in (a, b))
+            d = F.pmod(x - y, F.lit(32))
+            apart = apart + F.least(d, F.lit(32) - d)
+    return apart <= 2 * edits
 
 
 def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -105,12 +116,30 @@ def firsts(each: DataFrame) -> DataFrame:
     return found.select("k1", "k2", "first.doc_id", "first.pos")
 
 
-def candidates(each: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs (a, b) of the k1 of different lines that may be within the edits."""
-    own = each.groupBy("k1", "k2").agg(F.first("line").alias("line"))
-    own = own.select("k1", "line", F.char_length("line").alias("n"), _counts(F.col("line")).alias("counts"))
-    index = own.select(F.explode(_index_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("k1").alias("b"), F.col("counts").alias("cb"))
-    probe = own.select(F.explode(_probe_keys(F.col("line"), F.col("n"), edits)).alias("p"), F.col("k1").alias("a"), F.col("counts").alias("ca"))
+def paired(each: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(id): k1 of the lines that share a key with a different line. Each key row
+    is emitted once however many partners it has."""
+    n = F.char_length("line")
+    index, probe = _index_keys(F.col("line"), n, edits), [k for _, k in _probe_keys(F.col("line"), n, edits)]
+
+    def keys(cols: list[Column], key: str, own: str) -> DataFrame:
+        """Key rows of the different lines; equal lines have equal keys, so their
+        maximum is any of them and the grouping stays one of plain numbers."""
+        found = each.groupBy("k1", "k2").agg(*[F.max(c).alias(f"c{i}") for i, c in enumerate(cols)])
+        return found.select(F.col("k1").alias(own), F.explode(F.array(*[f"c{i}" for i in range(len(cols))])).alias(key))
+
+    x, y = keys(index, "key", "b"), keys(probe, "pkey", "a")
+    on = (F.col("pkey") == F.col("key")) & (F.col("a") != F.col("b"))
+    return y.join(x, on, "left_semi").select(F.col("a").alias("id")).union(x.join(y, on, "left_semi").select(F.col("b").alias("id"))).distinct()
+
+
+def candidates(some: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Pairs (a, b) of the k1 of different lines (k1, line) that share a key and
+    whose letter counts do not rule them out."""
+    own = some.select("k1", "line", F.char_length("line").alias("n"), _counts(F.col("line")).alias("counts"))
+    index = own.select(F.explode(F.array(*_index_keys(F.col("line"), F.col("n"), edits))).alias("key"), F.col("k1").alias("b"), F.col("counts").alias("cb"))
+    keys = F.array(*[F.struct(F.lit(less).alias("less"), key.alias("key")) for less, key in _probe_keys(F.col("line"), F.col("n"), edits)])
+    probe = own.select(F.explode(keys).alias("p"), F.col("k1").alias("a"), F.col("counts").alias("ca"))
     probe = probe.select(F.col("p.key").alias("pkey"), F.col("p.less").alias("less"), "a", "ca")
     near = (F.col("pkey") == F.col("key")) & (F.col("a") != F.col("b")) & ((F.col("less") > 0) | (F.col("a") < F.col("b"))) & _close(F.col("ca"), F.col("cb"), edits)
     return probe.join(index, near).select("a", "b").distinct()
@@ -120,11 +149,11 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     """Linked pairs of different lines: structs x and y (k1, k2, doc_id, pos of the
     first occurrence), x the earlier. Runs jobs."""
     each = lines(docs, min_chars)
-    pairs = cut(candidates(each, edits))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = cut(paired(each, edits))
     sent = F.broadcast(ids) if ids.count() <= MAX_SENT else ids
     some = each.join(sent, each["k1"] == F.col("id"), "left_semi")
     some = cut(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("line").alias("line")))
+    pairs = candidates(some, edits)
 
     def side(name: str, key: str) -> DataFrame:
         return some.select(F.col("k1").alias(key), F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), "k1", "k2").alias(name), F.col("line").alias(f"{name}_line"))
