@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -27,13 +28,18 @@ def test_matrix_against_arrays():
         m.access(3000)
 
 
+def encoded(enc, texts):
+    ids, lengths = enc.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+
+
 def test_words_equal_whole_texts():
     enc, tok = wv.Encoder(wv.vocabulary_path()), Tokenizer.from_file(wv.vocabulary_path())
-    texts = [t or "" for t in TEXTS] * 2
-    want = [np.array(tok.encode(t, add_special_tokens=False).ids, np.uint16).tobytes() for t in texts]
-    assert enc.encode(texts) == want == [b for t in texts for b in enc.encode([t])]
+    texts = [t or "" for t in TEXTS] * 2 + ["\x01", "a \x02 b", "\x03" + "1", "\u2003x", "\x1c"]
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert encoded(enc, texts) == want == [x for t in texts for x in encoded(enc, [t])]
     small = wv.Encoder(wv.vocabulary_path(), kept=3)
-    assert [small.encode([t])[0] for t in texts] == want
+    assert [encoded(small, [t])[0] for t in texts] == want
 
 
 @pytest.mark.parametrize("shard", [5, 2_000_000])
