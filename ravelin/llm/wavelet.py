@@ -13,9 +13,9 @@ Shard files are written by Spark's own Parquet writer (one row is one file
 image, uncompressed by Parquet), so they land on any store that Spark reaches
 and a lost task leaves nothing half-written.
 
-Encoding: between a space and its neighbours that are no white space, byte-level
-BPE never joins anything, so words are encoded by the tokenizers library once
-and kept; texts with other white space or special tokens go to the library whole.
+Encoding: byte-level BPE joins nothing across a space that stands between two
+characters that are no white space, so words are encoded by the tokenizers library
+once and kept; texts with other white space or special tokens go to it whole.
 
 Defined cases: null text is empty and yields the end id alone; repeated rows
 keep a run of ids each, ordered by text; a null doc_id comes first; an empty
@@ -32,6 +32,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -45,8 +47,23 @@ SHARD_TOKENS = 2_000_000
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a Python worker keeps encoded.
-KEPT_WORDS = 400_000
-_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+KEPT_WORDS = 1_600_000
+#: Documents whose words are looked up together.
+DOCS_AT_ONCE = 4000
+#: Marks: a word that no space precedes, the end of a text, a text taken whole; and
+#: a line end as a word of its own.
+_FIRST, _LAST, _WHOLE, _LINE = "\x01", "\x02", "\x03", " \n \x01"
+_ODD = "\\A[ \\n]|[ \\n]\\z|\\A\\z|[\\x{01}-\\x{03}\\t\\r\\x{0b}\\x{0c}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write the bytes that don't print: as the
+    characters from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+_BYTES = _byte_letters()
 
 
 class WaveletMatrix:
@@ -178,74 +195,120 @@ def read_image(image: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.
 
 
 class Encoder:
-    """Texts to the little-endian bytes of their ids, by the tokenizers library."""
+    """Texts to ids, by the tokenizers library.
+
+    Texts are split at spaces and line ends in Arrow and their different words
+    looked up; words not yet known are encoded together. The ids of a batch are
+    then gathered from those of its different words.
+    """
 
-    def __init__(self, path: str, kept: int = KEPT_WORDS):
+    def __init__(self, path: str, end_id: int = END_ID, kept: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.kept = Tokenizer.from_file(path), kept
         self.width = max(1, (self.tok.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.dtype = np.uint16 if self.width <= 16 else np.uint32
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or r"(?!)")
-        self.first: dict[str, bytes] = {"": b""}
-        self.next: dict[str, bytes] = {}
-        self.newline = self.whole(["\n"])[0]
-        self.by_word = bool(self.tok.get_added_tokens_decoder()) and self.whole(["a b\nc"])[0] == b"".join(self.whole(["a", " b", "\n", "c"]))
+        special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.odd = "|".join([_ODD, "  | \\n|\\n |\\n\\n", *special])
+        newline = self.tok.encode("\n", add_special_tokens=False).ids
+        self.newline, self.end = np.array(newline, self.dtype).tobytes(), np.array([end_id], self.dtype).tobytes()
+        self.stops = dict(zip(",.", self.whole([",", "."]), strict=True))
+        alone = [self.whole([w])[0] for w in ("a", " b", " c")]
+        self.by_word = len(newline) == 1 and self.whole(["a b.\n c"])[0] == alone[0] + alone[1] + self.stops["."] + self.newline + alone[2]
+        some = ["a", " Wort", " \u00e0\u00df\u00ef", " \u0148\u0161"]
+        pieces = [w.encode().decode("latin-1").translate(_BYTES) for w in some]
+        self.letters = [np.array([t.id for t in self.tok.model.tokenize(p)], self.dtype).tobytes() for p in pieces] == self.whole(some)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words after a space, words marked by _FIRST at the start of a line, marks."""
+        self.known: dict[str, bytes] = {"\n": self.newline, _FIRST: b"", _LAST: self.end}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, text: str) -> bool:
-        """Whether white space stands alone between words and nothing is special."""
-        return bool(text) and self.by_word and not (
-            text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD.search(text) or self.special.search(text)
-        )
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.next) > self.kept:
-            self.first, self.next = {"": b""}, {}
-        cut_up, odd = [], []
-        new_first, new_next = set(), set()
-        for i, text in enumerate(texts):
-            if not self._plain(text):
-                odd.append(i)
-                cut_up.append(None)
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            cut_up.append(lines)
-            for words in lines:
-                if words[0] not in self.first:
-                    new_first.add(words[0])
-                new_next.update(w for w in words[1:] if w not in self.next)
-        if new_first:
-            self.first.update(zip(new_first, self.whole(list(new_first)), strict=True))
-        if new_next:
-            self.next.update(zip(new_next, self.whole([" " + w for w in new_next]), strict=True))
-        rest = dict(zip(odd, self.whole([texts[i] for i in odd]), strict=True))
-        get, out = self.next.__getitem__, []
-        for i, lines in enumerate(cut_up):
-            if lines is None:
-                out.append(rest[i])
-                continue
-            parts = []
-            for k, words in enumerate(lines):
-                if k:
-                    parts.append(self.newline)
-                parts.append(self.first[words[0]])
-                parts.extend(map(get, words[1:]))
-            out.append(b"".join(parts))
-        return out
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+    def _lines(self, some: list[str]) -> list[bytes]:
+        """Pieces without line ends, encoded apart: one text of lines for the
+        library, cut at the ids of the line ends."""
+        if not some:
+            return []
+        ids = np.array(self.tok.encode_batch_fast(["\n".join(some) + "\n"], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(ids == np.frombuffer(self.newline, self.dtype)[0]).tolist()
+        raw, size = ids.tobytes(), self.dtype().itemsize
+        return [raw[a * size : e * size] for a, e in zip([0, *(e + 1 for e in ends)], ends, strict=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds words to the known ones. A comma or full stop after a letter is
+        always a piece of its own, so "word," needs no more than "word"; a word of
+        Latin letters alone is one piece, which the library's model takes as it is."""
+        known, tails, plain, other = self.known, [], [], []
+        for w in dict.fromkeys(w[:-1] if w[-1:] in self.stops and len(w) > 1 and not tails.append(w) else w for w in words):
+            if w not in known:
+                core = w[1:] if w[0] == _FIRST else w
+                (plain if core.isalpha() and max(core) <= "\u024f" else other).append(w)
+        if not self.letters:
+            plain, other = [], plain + other
+        tokenize, dtype = self.tok.model.tokenize, self.dtype
+        for w in plain:
+            core = w[1:] if w[0] == _FIRST else "\u0120" + w
+            if not w.isascii():
+                core = (w[1:] if w[0] == _FIRST else " " + w).encode().decode("latin-1").translate(_BYTES)
+            known[w] = np.array([t.id for t in tokenize(core)], dtype).tobytes()
+        known.update(zip(other, self._lines([w[1:] if w[0] == _FIRST else " " + w for w in other]), strict=True))
+        for w in tails:
+            if "A" <= w[-2] <= "\u024f" and w[-2].isalpha():
+                known[w] = known[w[:-1]] + self.stops[w[-1]]
+            else:
+                known[w] = self._lines([w[1:] if w[0] == _FIRST else " " + w])[0]
+
+    def _odd(self, texts: pa.Array) -> np.ndarray:
+        """Numbers of the texts that must go to the library whole: white space
+        that does not stand alone between words, special tokens, our marks."""
+        if not self.by_word:
+            return np.arange(len(texts))
+        odd = pc.match_substring_regex(texts, self.odd)
+        return np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (none null) on end, each with the end id, and how
+        many are of each."""
+        if len(self.known) > self.kept:
+            self._forget()
+        apart: dict[str, bytes] = {}
+        odd = self._odd(texts)
+        if len(odd):
+            mask = np.zeros(len(texts), bool)
+            mask[odd] = True
+            names = [f"{_WHOLE}{i}" for i in odd.tolist()]
+            apart = dict(zip([_FIRST + n for n in names], self.whole(texts.take(pa.array(odd)).to_pylist()), strict=True))
+            texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(names, texts.type))
+        marked = pc.binary_join_element_wise(_FIRST, pc.replace_substring(texts, "\n", _LINE), f" {_LAST}", "")
+        split = pc.split_pattern(marked, " ")
+        coded = split.flatten().dictionary_encode()
+        words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        parts = list(map(self.known.get, words))
+        new = [w for w, p in zip(words, parts, strict=True) if p is None and w not in apart]
+        self._learn(new)
+        parts = [p if p is not None else (apart[w] if w in apart else self.known[w]) for w, p in zip(words, parts, strict=True)]
+        size = self.dtype().itemsize
+        n = np.fromiter(map(len, parts), np.int32, len(parts)) // size
+        flat, start = np.frombuffer(b"".join(parts), self.dtype), np.cumsum(n, dtype=np.int32) - n
+        count = n[place]
+        ends = np.cumsum(count, dtype=np.int32)
+        ids = flat[np.repeat(start[place] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        upto = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return ids, np.diff(upto)
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int = END_ID) -> Encoder:
     """The worker's encoder for a vocabulary file; kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -256,30 +319,36 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def _shards(path: str, end_id: int, shard_tokens: int):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, end_id)
         part = TaskContext.get().partitionId()
-        end = np.array([end_id], enc.dtype).tobytes()
-        size = len(end)
-        held, ids, waiting, seq = [], [], 0, 0
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # ids, lengths, doc_ids
+        waiting, seq = 0, 0
 
-        def close() -> pd.DataFrame:
-            values = np.frombuffer(b"".join(held), enc.dtype)
-            docs = pd.Series(ids, dtype="Int64")
-            lengths = np.array([len(h) // size for h in held], np.int64)
-            image = write_image(values, enc.width, docs.fillna(0).to_numpy(np.int64), docs.notna().to_numpy(), lengths)
-            return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(held)], "n_tokens": [len(values)], "image": [image]})
+        def close() -> pa.RecordBatch:
+            ids, lengths = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            docs = pa.concat_arrays([h[2] for h in held])
+            image = write_image(ids, enc.width, docs.fill_null(0).to_numpy(), docs.is_valid().to_numpy(zero_copy_only=False), lengths)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(lengths)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([image], pa.binary())], names=["part", "seq", "n_docs", "n_tokens", "image"])
 
         for b in batches:
-            texts, doc_ids = b["text"].fillna("").tolist(), b["doc_id"].astype("Int64").tolist()
-            for i in range(0, len(texts), 256):
-                for doc_id, coded in zip(doc_ids[i : i + 256], enc.encode(texts[i : i + 256]), strict=True):
-                    held.append(coded + end)
-                    ids.append(doc_id)
-                    waiting += len(coded) // size + 1
+            at = 0
+            while at < b.num_rows:
+                some = b.slice(at, DOCS_AT_ONCE)
+                at += some.num_rows
+                ids, lengths = enc.encode(some.column("text").fill_null(""))
+                ends = np.cumsum(lengths)
+                lo = 0
+                while lo < len(lengths):  # documents until the shard is full
+                    hi = lo + max(1, int(np.searchsorted(ends[lo:] - (ends[lo - 1] if lo else 0), shard_tokens - waiting)) + 1)
+                    hi = min(hi, len(lengths))
+                    first, last = int(ends[lo - 1]) if lo else 0, int(ends[hi - 1])
+                    held.append((ids[first:last], lengths[lo:hi], some.column("doc_id").slice(lo, hi - lo)))
+                    waiting += last - first
+                    lo = hi
                     if waiting >= shard_tokens:
                         yield close()
-                        held, ids, waiting, seq = [], [], 0, seq + 1
+                        held, waiting, seq = [], 0, seq + 1
         if held:
             yield close()
 
@@ -293,7 +362,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     n = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(rows.mapInPandas(_shards(path or vocabulary_path(), end_id, shard_tokens), "part int, seq int, n_docs long, n_tokens long, image binary"))
+    return cut(rows.mapInArrow(_shards(path or vocabulary_path(), end_id, shard_tokens), "part int, seq int, n_docs long, n_tokens long, image binary"))
 
 
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
