@@ -46,10 +46,10 @@ BLOCK = 512
 SHARD_TOKENS = 2_000_000
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Words that a Python worker keeps encoded.
-KEPT_WORDS = 1_600_000
+#: Words that a Python worker keeps encoded (about 200 bytes each).
+KEPT_WORDS = 1_200_000
 #: Documents whose words are looked up together.
-DOCS_AT_ONCE = 4000
+DOCS_AT_ONCE = 2500
 #: Marks: a word that no space precedes, the end of a text, a text taken whole; and
 #: a line end as a word of its own.
 _FIRST, _LAST, _WHOLE, _LINE = "\x01", "\x02", "\x03", " \n \x01"
@@ -222,7 +222,10 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """Words after a space, words marked by _FIRST at the start of a line, marks."""
+        """Known words of two generations: after a space, marked by _FIRST at the
+        start of a line, and the marks. Words of the older one that come again move
+        up, the others go when the younger one is full."""
+        self.older = getattr(self, "known", {})
         self.known: dict[str, bytes] = {"\n": self.newline, _FIRST: b"", _LAST: self.end}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -273,7 +276,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (none null) on end, each with the end id, and how
         many are of each."""
-        if len(self.known) > self.kept:
+        if len(self.known) > self.kept // 2:
             self._forget()
         apart: dict[str, bytes] = {}
         odd = self._odd(texts)
@@ -289,7 +292,9 @@ class Encoder:
         words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         parts = list(map(self.known.get, words))
         new = [w for w, p in zip(words, parts, strict=True) if p is None and w not in apart]
-        self._learn(new)
+        again = {w: p for w, p in zip(new, map(self.older.get, new), strict=True) if p is not None}
+        self.known.update(again)
+        self._learn([w for w in new if w not in again])
         parts = [p if p is not None else (apart[w] if w in apart else self.known[w]) for w, p in zip(words, parts, strict=True)]
         size = self.dtype().itemsize
         n = np.fromiter(map(len, parts), np.int32, len(parts)) // size
