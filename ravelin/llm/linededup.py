@@ -65,17 +65,17 @@ def _index_keys(line: Column, n: Column, edits: int) -> list[Column]:
     return out
 
 
-def _probe_keys(line: Column, n: Column, edits: int) -> list[tuple[int, Column]]:
-    """(characters that the partner has less, key) of every probe."""
+def _probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
+    """The key of every probe."""
     out = []
     for less in range(edits + 1):
         m = n - less
         for i in range(edits + 1):
             start, size = _segment(m, i, edits)
-            lo = max(-i, less - (edits - i))
+            lo = max(-i, less - (edits - i)) if less else 0  # of equal lengths, one line of the pair moves up
             hi = min(i, less + (edits - i))
             for move in range(lo, hi + 1):
-                out.append((less, F.xxhash64(F.lit(i), m, F.substring(line, start + (move + 1), size))))
+                out.append(F.xxhash64(F.lit(i), m, F.substring(line, start + (move + 1), size)))
     return out
 
 
@@ -120,15 +120,13 @@ def paired(each: DataFrame, edits: int = EDITS) -> DataFrame:
     """(id): k1 of the lines that share a key with a different line. Each key row
     is emitted once however many partners it has."""
     n = F.char_length("line")
-    index, probe = _index_keys(F.col("line"), n, edits), [k for _, k in _probe_keys(F.col("line"), n, edits)]
-
-    def keys(cols: list[Column], key: str, own: str) -> DataFrame:
-        """Key rows of the different lines; equal lines have equal keys, so their
-        maximum is any of them and the grouping stays one of plain numbers."""
-        found = each.groupBy("k1", "k2").agg(*[F.max(c).alias(f"c{i}") for i, c in enumerate(cols)])
-        return found.select(F.col("k1").alias(own), F.explode(F.array(*[f"c{i}" for i in range(len(cols))])).alias(key))
-
-    x, y = keys(index, "key", "b"), keys(probe, "pkey", "a")
+    index, probe = _index_keys(F.col("line"), n, edits), _probe_keys(F.col("line"), n, edits)
+    # Equal lines have equal keys, so a maximum is any of them and the grouping stays
+    # one of plain numbers; one array of all keys lets both sides share its shuffle.
+    found = each.groupBy("k1", "k2").agg(*[F.max(c).alias(f"c{i}") for i, c in enumerate([*index, *probe])])
+    own = found.select("k1", F.array(*[f"c{i}" for i in range(len(index) + len(probe))]).alias("keys"))
+    x = own.select(F.col("k1").alias("b"), F.explode(F.slice("keys", 1, len(index))).alias("key"))
+    y = own.select(F.col("k1").alias("a"), F.explode(F.slice("keys", len(index) + 1, len(probe))).alias("pkey"))
     on = (F.col("pkey") == F.col("key")) & (F.col("a") != F.col("b"))
     return y.join(x, on, "left_semi").select(F.col("a").alias("id")).union(x.join(y, on, "left_semi").select(F.col("b").alias("id"))).distinct()
 
@@ -138,11 +136,10 @@ def candidates(some: DataFrame, edits: int = EDITS) -> DataFrame:
     whose letter counts do not rule them out."""
     own = some.select("k1", "line", F.char_length("line").alias("n"), _counts(F.col("line")).alias("counts"))
     index = own.select(F.explode(F.array(*_index_keys(F.col("line"), F.col("n"), edits))).alias("key"), F.col("k1").alias("b"), F.col("counts").alias("cb"))
-    keys = F.array(*[F.struct(F.lit(less).alias("less"), key.alias("key")) for less, key in _probe_keys(F.col("line"), F.col("n"), edits)])
-    probe = own.select(F.explode(keys).alias("p"), F.col("k1").alias("a"), F.col("counts").alias("ca"))
-    probe = probe.select(F.col("p.key").alias("pkey"), F.col("p.less").alias("less"), "a", "ca")
-    near = (F.col("pkey") == F.col("key")) & (F.col("a") != F.col("b")) & ((F.col("less") > 0) | (F.col("a") < F.col("b"))) & _close(F.col("ca"), F.col("cb"), edits)
-    return probe.join(index, near).select("a", "b").distinct()
+    keys = F.array(*_probe_keys(F.col("line"), F.col("n"), edits))
+    probe = own.select(F.explode(keys).alias("pkey"), F.col("k1").alias("a"), F.col("counts").alias("ca"))
+    near = (F.col("pkey") == F.col("key")) & (F.col("a") != F.col("b")) & _close(F.col("ca"), F.col("cb"), edits)
+    return probe.join(index, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
