@@ -87,6 +87,20 @@ def as_text(keys: Column) -> Column:
     return F.array_join(F.transform(keys, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
+def _cuts_below(cuts: list[int], value: Column) -> Column:
+    """How many of the ascending cuts lie below the value; looks through about two
+    square roots of their number."""
+    m = max(1, int(len(cuts) ** 0.5))
+
+    def below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda c: c < value))
+
+    coarse = F.array(*[F.lit(c) for c in cuts[m - 1 :: m]]).cast("array<bigint>")
+    fine = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + m]]).cast("array<bigint>") for i in range(0, len(cuts) + 1, m)])
+    at = below(coarse)
+    return at * m + F.coalesce(below(F.get(fine, at)), F.lit(0))
+
+
 def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
     """rows (doc_id and others) with `next`, a struct of the carried columns of the
     next row in doc_id order (of the first row for the last). Runs two jobs over
@@ -95,8 +109,8 @@ def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
     buckets = 4 * max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     ids = rows.select(at.alias("at"))
-    cuts = sorted(set(ids.agg(F.percentile_approx("at", [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first()["q"] or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c < F.col("at")))
+    cuts = sorted(set(ids.agg(F.percentile_approx("at", [i / buckets for i in range(1, buckets)], 10 * max(1000, buckets)).alias("q")).first()["q"] or []))
+    bucket = _cuts_below(cuts, F.col("at"))
     first = sorted((r["b"], r["at"]) for r in ids.groupBy(bucket.alias("b")).agg(F.min("at").alias("at")).collect())
     before = [(i, first[n - 1][0], int(n == 0)) for n, (_, i) in enumerate(first)]  # the very first follows the last
     also = spark.createDataFrame(before or [(0, 0, 0)], "first long, other int, wraps int").limit(len(before))

@@ -74,3 +74,12 @@ def test_null_and_repeated_ids(spark):
     rows = [(None, "null id text here", "en", "s", 1), (3, "same id one two three four", "en", "s", 1), (3, "same id again five six", "en", "s", 1), (9, "last", "en", "s", 1)]
     got = fp.fingerprints_query(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
     assert len(got) == 4
+
+
+def test_cuts_below(spark):
+    import bisect
+
+    for n in (0, 1, 2, 7, 30):
+        cuts = [3 * i for i in range(n)]
+        got = spark.range(-2, 100).select("id", fp._cuts_below(cuts, fp.F.col("id")).alias("b")).collect()
+        assert all(r["b"] == bisect.bisect_left(cuts, r["id"]) for r in got)
