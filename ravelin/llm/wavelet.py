@@ -28,6 +28,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -208,7 +209,7 @@ class Encoder:
 
         self.tok, self.kept = Tokenizer.from_file(path), kept
         self.width = max(1, (self.tok.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.dtype = np.uint16 if self.width <= 16 else np.uint32
+        self.dtype, self.code = (np.uint16, "H") if self.width <= 16 else (np.uint32, "I")
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.odd = "|".join([_ODD, "  | \\n|\\n |\\n\\n", *special])
         newline = self.tok.encode("\n", add_special_tokens=False).ids
@@ -245,22 +246,30 @@ class Encoder:
         """Adds words to the known ones. A comma or full stop after a letter is
         always a piece of its own, so "word," needs no more than "word"; a word of
         Latin letters alone is one piece, which the library's model takes as it is."""
-        known, tails, plain, other = self.known, [], [], []
-        for w in dict.fromkeys(w[:-1] if w[-1:] in self.stops and len(w) > 1 and not tails.append(w) else w for w in words):
-            if w not in known:
-                core = w[1:] if w[0] == _FIRST else w
-                (plain if core.isalpha() and max(core) <= "\u024f" else other).append(w)
-        if not self.letters:
-            plain, other = [], plain + other
-        tokenize, dtype = self.tok.model.tokenize, self.dtype
-        for w in plain:
-            core = w[1:] if w[0] == _FIRST else "\u0120" + w
-            if not w.isascii():
-                core = (w[1:] if w[0] == _FIRST else " " + w).encode().decode("latin-1").translate(_BYTES)
-            known[w] = np.array([t.id for t in tokenize(core)], dtype).tobytes()
+        known, tails, other = self.known, [], []
+        stems = set()
+        for w in words:
+            if w[-1] in ",." and len(w) > 1:
+                tails.append(w)
+                w = w[:-1]
+            stems.add(w)
+        tokenize, code = self.tok.model.tokenize, self.code
+        for w in stems:
+            if w in known:
+                continue
+            core = w[1:] if w[0] == _FIRST else w
+            if not self.letters or not core.isalpha():
+                other.append(w)
+            elif core.isascii():
+                known[w] = array(code, [t.id for t in tokenize(core if w[0] == _FIRST else "\u0120" + w)]).tobytes()
+            elif max(core) <= "\u024f":
+                core = (core if w[0] == _FIRST else " " + w).encode().decode("latin-1").translate(_BYTES)
+                known[w] = array(code, [t.id for t in tokenize(core)]).tobytes()
+            else:
+                other.append(w)
         known.update(zip(other, self._lines([w[1:] if w[0] == _FIRST else " " + w for w in other]), strict=True))
         for w in tails:
-            if "A" <= w[-2] <= "\u024f" and w[-2].isalpha():
+            if w[-2].isalpha() and w[-2] <= "\u024f":
                 known[w] = known[w[:-1]] + self.stops[w[-1]]
             else:
                 known[w] = self._lines([w[1:] if w[0] == _FIRST else " " + w])[0]
@@ -290,12 +299,22 @@ class Encoder:
         split = pc.split_pattern(marked, " ")
         coded = split.flatten().dictionary_encode()
         words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        parts = list(map(self.known.get, words))
-        new = [w for w, p in zip(words, parts, strict=True) if p is None and w not in apart]
-        again = {w: p for w, p in zip(new, map(self.older.get, new), strict=True) if p is not None}
-        self.known.update(again)
-        self._learn([w for w in new if w not in again])
-        parts = [p if p is not None else (apart[w] if w in apart else self.known[w]) for w, p in zip(words, parts, strict=True)]
+        known, older = self.known, self.older
+        parts = list(map(known.get, words))
+        missing = [i for i, p in enumerate(parts) if p is None]
+        new = []
+        for i in missing:
+            w = words[i]
+            p = older.get(w)
+            if p is not None:
+                parts[i] = known[w] = p
+            elif w in apart:
+                parts[i] = apart[w]
+            else:
+                new.append(i)
+        self._learn([words[i] for i in new])
+        for i in new:
+            parts[i] = known[words[i]]
         size = self.dtype().itemsize
         n = np.fromiter(map(len, parts), np.int32, len(parts)) // size
         flat, start = np.frombuffer(b"".join(parts), self.dtype), np.cumsum(n, dtype=np.int32) - n
