@@ -88,10 +88,14 @@ def feasibility(df: DataFrame, hit: Column, user: str = "user_id") -> DataFrame:
     )
 
 
-def duplicates(text: str = "text") -> Column:
-    """Whether a row's text occurs more than once (by its 256-bit digest, so texts
-    themselves are not shuffled)."""
-    return F.count(F.lit(1)).over(Window.partitionBy(F.sha2(F.col(text).cast("binary"), 256))) > 1
+def digest(text: str = "text") -> Column:
+    """A text's 256-bit digest: to be selected in its stead before duplicates()."""
+    return F.sha2(F.col(text).cast("binary"), 256)
+
+
+def duplicates(key: str = "digest") -> Column:
+    """Whether a row's key occurs more than once."""
+    return F.count(F.lit(1)).over(Window.partitionBy(key)) > 1
 
 
 def item_concentration(df: DataFrame, hit: Column, least: int = 20) -> DataFrame:

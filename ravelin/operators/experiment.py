@@ -69,13 +69,16 @@ def eval_mask(c0: DataFrame, other: DataFrame, user: str = "user_id") -> DataFra
 
 def popularity_topk(split: DataFrame, k: int, user: str = "user_id") -> DataFrame:
     """(user, item, rank) of the k most frequent train items that a user's train
-    and valid rows lack. Items are ranked once; a user needs no more than the
-    first k + (items seen) of them, so users are dealt by that number instead of
-    being crossed with all items."""
+    and valid rows lack. Items are ranked once, and only as many as the busiest
+    user can need; a user needs no more than the first k + (items seen) of them, so
+    users are dealt by that number instead of being crossed with all items. Runs a
+    job for the most."""
     counts = split.filter("split = 'train'").groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "item")))  # a row for each item
     seen = split.filter("split <> 'test'").select(user, "item").distinct()
     need = split.filter("split = 'test'").select(user).distinct().join(seen.groupBy(user).agg(F.count(F.lit(1)).alias("held")), user, "left")
+    most = k + (need.agg(F.max("held")).first()[0] or 0)
+    first = counts.orderBy(F.desc("n"), "item").limit(int(most))
+    ranked = first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "item")))
     wanted = need.select(user, F.explode(F.sequence(F.lit(1), (F.coalesce("held", F.lit(0)) + k).cast("int"))).alias("place"))
     free = wanted.join(ranked, "place").join(seen, [user, "item"], "left_anti")
     w = Window.partitionBy(user).orderBy("place")

@@ -16,19 +16,24 @@ def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], las
 
 
 def funnel(df: DataFrame, stages: Sequence[tuple[str, Column]], user: str = "user_id", item: str = "item") -> DataFrame:
-    """Rows, users and items left after each of a chain of filters, in one pass:
-    each row carries the number of filters that it passes in turn."""
+    """Rows, users and items left after each of a chain of filters. Each row carries
+    the number of filters that it passes in turn, and a user or item the most of its
+    rows', so distinct ones are counted by grouping once, without expanding rows."""
     level = F.lit(len(stages))
     for i in range(len(stages) - 1, -1, -1):
         level = F.when(F.coalesce(stages[i][1], F.lit(False)), level).otherwise(F.lit(i))
     tagged = df.select(user, item, level.alias("__level"))
-    out = []
-    for i, (name, _) in enumerate(stages, 1):
-        on = F.col("__level") >= i
-        out.append((name, [F.count_if(on).alias(f"r{i}"), F.count_distinct(F.when(on, F.col(user))).alias(f"u{i}"), F.count_distinct(F.when(on, F.col(item))).alias(f"i{i}")]))
-    one = tagged.agg(*[c for _, cols in out for c in cols])
-    each = F.array(*[F.struct(F.lit(name).alias("stage"), F.col(f"r{i}").alias("n_rows"), F.col(f"u{i}").alias("n_users"), F.col(f"i{i}").alias("n_items")) for i, (name, _) in enumerate(out, 1)])
-    return one.select(F.explode(each).alias("s")).select("s.*")
+
+    def counts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.agg(F.array(*[F.count_if(F.col("__level") >= i) for i in range(1, len(stages) + 1)]).alias(name))
+
+    def most(key: str) -> DataFrame:
+        return tagged.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("__level").alias("__level"))
+
+    one = counts(tagged, "r").crossJoin(counts(most(user), "u")).crossJoin(counts(most(item), "i"))  # single rows
+    names = F.array(*[F.lit(name) for name, _ in stages])
+    each = one.select(F.explode(F.arrays_zip(names.alias("stage"), "r", "u", "i")).alias("s"))
+    return each.select("s.stage", F.col("s.r").alias("n_rows"), F.col("s.u").alias("n_users"), F.col("s.i").alias("n_items"))
 
 
 def density(df: DataFrame, key: str, k: int) -> DataFrame:
@@ -109,17 +114,26 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> bool:
     return not x.join(y, key, "left_anti").limit(1).count() and not y.join(x, key, "left_anti").limit(1).count()
 
 
-def nearest_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
+def nearest_quantile(df: DataFrame, col: str, q: float, at_once: int = 200_000) -> DataFrame:
     """The value at rank round((n - 1) q) from 0, halves to even, of those not null.
 
-    Values are counted first, so the one window without partition runs over
-    different values only."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = counts.agg(F.sum("c").alias("total"))
-    ranked = counts.withColumn("upto", F.sum("c").over(w)).crossJoin(F.broadcast(total))
-    at = F.rint((F.col("total") - 1) * F.lit(q)).cast("long")
-    return ranked.filter((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select("value")
+    While more than at_once values are in question they are narrowed down between
+    approximate quantiles about the rank, exactly counted; what is left is counted
+    by value and ranked in one window. Runs jobs."""
+    some = df.filter(F.col(col).isNotNull()).select(F.col(col).alias("value"))
+    n = some.count()
+    rank = round((n - 1) * q) if n else 0
+    while n > at_once:
+        p = rank / (n - 1)
+        lo, hi = some.agg(F.percentile_approx("value", [max(0.0, p - 3e-4), min(1.0, p + 3e-4)], 10_000).alias("v")).first()["v"]
+        below, inside = some.agg(F.count_if(F.col("value") < lo), F.count_if(F.col("value").between(lo, hi))).first()
+        if not below <= rank < below + inside or inside == n:
+            break
+        some, rank, n = some.filter(F.col("value").between(lo, hi)), rank - below, inside
+    counts = some.groupBy("value").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumn("upto", upto)
+    return ranked.filter((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)).select("value")
 
 
 def value_deciles(df: DataFrame, col: str, parts: int = 10) -> DataFrame:

@@ -87,7 +87,8 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CASE WHEN n <= 2 THEN '1-2' WHEN n <= 5 THEN '3-5' WHEN n <= 10 THEN '6-10' WHEN n <= 20 THEN '11-20' WHEN n <= 50 THEN '21-50' WHEN n <= 100 THEN '51-100' WHEN n <= 500 THEN '101-500' ELSE '>500' END AS bucket,
 count(*) AS n, count(*) FILTER (dup) AS n_dup FROM n GROUP BY 1""")
 def dup_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents_log(spark, sf_dir).select(tx.right_closed(tx.word_count(F.col("text"))).alias("bucket"), eda.duplicates().alias("dup"))
+    d = documents_log(spark, sf_dir).select(tx.right_closed(tx.word_count(F.col("text"))).alias("bucket"), eda.digest().alias("digest"))
+    d = d.select("bucket", eda.duplicates().alias("dup"))  # texts stay where they are read
     return d.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("dup").alias("n_dup"))
 
 
