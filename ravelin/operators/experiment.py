@@ -178,3 +178,9 @@ def list_faults(topk: DataFrame, mask: DataFrame, user: str = "user_id") -> Data
 
 def is_hit(rank: Column, k: int) -> Column:
     return F.coalesce(rank <= k, F.lit(False))
+
+
+def benchmark_split(split: DataFrame, label: str = "self") -> DataFrame:
+    """The rows of the benchmark's files: train and valid as they are, of test those
+    with the label."""
+    return split.filter((F.col("split") != "test") | (F.col("label") == label))

@@ -36,3 +36,20 @@ def terciles(lengths: DataFrame, n: str = "n", user: str = "user_id") -> DataFra
     cuts = lengths.agg(F.percentile(n, [1 / 3, 2 / 3]).alias("q"))
     j = lengths.crossJoin(F.broadcast(cuts))
     return j.select(user, F.when(F.col(n) <= F.col("q")[0], "low").when(F.col(n) <= F.col("q")[1], "mid").otherwise("high").alias("tercile"))
+
+
+def waste_contrast(a: DataFrame, b: DataFrame, items: DataFrame, target: DataFrame, k: int, user: str = "user_id", category: str = "subcat") -> DataFrame:
+    """One row over users with a target category (exposed): n_exposed, mean_a,
+    mean_b, diff of the shares of their lists a and b that lie in it."""
+    exposed = target.select(user).distinct()
+    x = list_share(a, items, target, k, user, category).withColumnRenamed("share", "x")
+    y = list_share(b, items, target, k, user, category).withColumnRenamed("share", "y")
+    j = exposed.join(x, user).join(y, user)
+    return j.agg(F.count(F.lit(1)).alias("n_exposed"), F.avg("x").alias("mean_a"), F.avg("y").alias("mean_b"), F.avg(F.col("x") - F.col("y")).alias("diff"))
+
+
+def segment_contrast(a: DataFrame, b: DataFrame, segments: DataFrame, metric: str, segment: str = "tercile", user: str = "user_id") -> DataFrame:
+    """(segment, n_users, diff): mean difference of a metric between two runs inside
+    each segment of users."""
+    j = a.select(user, F.col(metric).alias("x")).join(b.select(user, F.col(metric).alias("y")), user).join(segments, user)
+    return j.groupBy(segment).agg(F.count(F.lit(1)).alias("n_users"), F.avg(F.col("x") - F.col("y")).alias("diff"))

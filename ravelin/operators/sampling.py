@@ -112,3 +112,33 @@ def holdout(df: DataFrame, stratum: Column, fraction: float, seed: int, row_id:
     rn = F.row_number().over(Window.partitionBy("__s").orderBy(draw_key(seed, F.col("__s"), F.col(row_id)), row_id))
     take = F.when(n < 2, 0).otherwise(F.rint(n * F.lit(fraction)))
     return rows.withColumn("part", F.when(rn <= take, "holdout").otherwise("train")).drop("__s")
+
+
+def two_level(df: DataFrame, role: Column, stratum: Column, roles: Mapping[str, float], strata: Mapping[str, float], total: int, seed: int, row_id: str = "row_id", excluded: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """A sample dealt first over roles and then, inside each, over strata by fixed
+    shares, capped by what there is: (rows with role, stratum and sample_id, rows
+    that fell short by "role|stratum"). excluded: rows (row_id) never drawn. Runs a
+    job for the counts of cells."""
+    pool = df.join(excluded.select(row_id), row_id, "left_anti") if excluded is not None else df
+    pool = pool.withColumn("role", role).withColumn("stratum_", stratum)
+    have = {f"{r['role']}|{r['stratum_']}": r["count"] for r in pool.groupBy("role", "stratum_").count().collect()}
+    want: dict[str, int] = {}
+    short: dict[str, int] = {}
+    for r, n in share_allocation(roles, total).items():
+        plain = share_allocation(strata, n)
+        dealt = share_allocation(strata, n, {s: have.get(f"{r}|{s}", 0) for s in strata})
+        for s in strata:
+            want[f"{r}|{s}"] = dealt[s]
+            if plain[s] > dealt[s]:
+                short[f"{r}|{s}"] = plain[s] - dealt[s]
+    drawn = draw(pool, F.concat_ws("|", "role", "stratum_"), want, seed, row_id).drop("stratum").withColumnRenamed("stratum_", "stratum")
+    return shuffled(drawn, seed, row_id), short
+
+
+def text_drift(sample: DataFrame, corpus: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
+    """One row: sampled rows, rows that the corpus lacks, rows whose text differs
+    from the corpus's (null counts as a value)."""
+    c = corpus.select(*key, F.col(text).alias("__theirs"), F.lit(True).alias("__there"))
+    j = sample.join(c, list(key), "left")
+    there = F.coalesce("__there", F.lit(False))
+    return j.agg(F.count(F.lit(1)).alias("n"), F.count_if(~there).alias("missing"), F.count_if(there & ~F.col(text).eqNullSafe(F.col("__theirs"))).alias("drifted"))

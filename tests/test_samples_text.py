@@ -172,3 +172,17 @@ def test_eda(spark):
     df = spark.createDataFrame([(1.0,), (1.0,), (3.0,), (None,)], "v double")
     assert [round(r["share"], 4) for r in sorted(eda.ecdf_grid(df, "v", (0.5, 1, 5)).collect())] == [0.0, 0.6667, 1.0]
     assert sorted((r["x"] or 0, r["n"]) for r in eda.value_grid(df, F.col("v"), [1, 2]).collect()) == [(0, 2), (1, 2), (2, 0)]
+
+
+def test_two_level_sample(spark):
+    df = spark.range(300).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("r"), F.when(F.col("id") < 290, "a").otherwise("b").alias("s"))
+    out, short = sampling.two_level(df, F.col("r"), F.col("s"), {"x": 0.5, "y": 0.5}, {"a": 0.5, "b": 0.5}, 40, 3, excluded=df.filter("row_id < 100").select("row_id"))
+    rows = out.collect()
+    assert len(rows) == 40 and {r["sample_id"] for r in rows} == set(range(1, 41)) and min(r["row_id"] for r in rows) >= 100
+    assert sum(r["role"] == "x" for r in rows) == 20 and short["x|b"] == 10 - sum(r["role"] == "x" and r["stratum"] == "b" for r in rows)
+
+
+def test_text_drift(spark):
+    c = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, text string")
+    s = spark.createDataFrame([(1, "a"), (2, None), (3, "x"), (4, "d")], "k int, text string")
+    assert tuple(sampling.text_drift(s, c, ["k"]).first()) == (4, 1, 1)
