@@ -32,15 +32,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths of the tables that cut() has written in this process.
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: lineage ends
-    here, and losing an executor costs no more than the stage under way."""
+    here, and losing an executor costs no more than the stage under way. The table
+    stays until clean()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ravelin-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Removes the tables that cut() has written, for when the results are stored;
+    returns their number. Works on any store that Spark reaches."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df.checkpoint() in the shared folder; for small tables in loops."""
     shared_dir(df.sparkSession)
