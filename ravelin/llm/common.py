@@ -77,6 +77,32 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def release() -> None:
+    """Gives memory that this process has freed back to the system, as far as its
+    allocators can: Python workers live on from task to task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+    if trim:
+        trim(0)
+
+
+#: Rows in an Arrow batch of texts: a few megabytes on either side.
+TEXTS_AT_ONCE = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in an Arrow batch: texts are long, and batches of
+    the usual length hold tens of megabytes in JVM and worker several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > TEXTS_AT_ONCE:
+        spark.conf.set(key, str(TEXTS_AT_ONCE))
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves no rest on division by 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

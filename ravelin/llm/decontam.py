@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.llm.common import release, short_batches
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
@@ -167,10 +169,13 @@ _TYPE = "array<struct<item_id:bigint,score:double,question:double,answer:double>
 
 def leaks_column(index: Index, text: Column, spark) -> Column:
     """The items that a text leaks, as a column; the index goes out by broadcast."""
+    short_batches(spark)
     sent = spark.sparkContext.broadcast(index)
 
     def found(t: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("item_id", "score", "question", "answer"), hit, strict=True)) for hit in hits] for hits in sent.value.leaks(t.tolist())])
+        out = pd.Series([[dict(zip(("item_id", "score", "question", "answer"), hit, strict=True)) for hit in hits] for hits in sent.value.leaks(t.tolist())])
+        release()
+        return out
 
     return F.pandas_udf(found, _TYPE)(text.cast("string"))
 

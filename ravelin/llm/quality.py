@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import held_out
+from ravelin.llm.common import held_out, release, short_batches
 
 #: Bound of the labelled sample: rows of labels in the order of a hash of doc_id.
 MAX_LABELLED = 6000
@@ -145,11 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
 def score_column(model: Voter, text: Column, spark) -> Column:
     """The score of a text as a column; the model goes out by broadcast."""
+    short_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(t: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.score(t.tolist()), dtype="float64")
+        out = pd.Series(sent.value.score(t.tolist()), dtype="float64")
+        release()
+        return out
 
     return score(text.cast("string"))
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import checkpoint, cut
+from ravelin.llm.common import checkpoint, cut, release, short_batches
 
 SEED = 42
 SHINGLE = 3
@@ -63,10 +63,12 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         fp = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b)).view(np.int64)
         yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp})
+        release()
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every row of docs; fp as a signed long."""
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_fingerprints, "doc_id long, fp long")
 
 
@@ -159,6 +161,7 @@ def _linker(max_bits: int):
                 yield out
         if rest is not None and len(out := edges(rest)):
             yield out
+        release()
 
     return link
 

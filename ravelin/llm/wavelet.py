@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import cut
+from ravelin.llm.common import cut, release
 
 MAGIC = b"RVWM0001"
 BLOCK = 512
@@ -346,6 +346,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end_id)
         part = TaskContext.get().partitionId()
+        release()
         held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # ids, lengths, doc_ids
         waiting, seq = 0, 0
 
@@ -375,6 +376,8 @@ def _shards(path: str, end_id: int, shard_tokens: int):
                         held, waiting, seq = [], 0, seq + 1
         if held:
             yield close()
+        held = []
+        release()
 
     return write
 
@@ -399,6 +402,7 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             crc = [zlib.crc32(ids[4 * a : 4 * e]) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
             docs = pd.Series(doc_ids).astype("Int64").where(pd.Series(valid))
             yield pd.DataFrame({"part": part, "seq": seq, "doc_id": docs, "inside": starts, "n_tokens": lengths, "ids_crc32": crc})
+    release()
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
