@@ -48,7 +48,7 @@ SHARD_TOKENS = 2_000_000
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a Python worker keeps encoded (about 200 bytes each).
-KEPT_WORDS = 1_400_000
+KEPT_WORDS = 1_200_000
 #: Documents whose words are looked up together.
 DOCS_AT_ONCE = 5000
 #: Marks: a word that no space precedes, the end of a text, a text taken whole; and
@@ -346,6 +346,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end_id)
         part = TaskContext.get().partitionId()
+        release()
         held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # ids, lengths, doc_ids
         waiting, seq = 0, 0
 
@@ -401,6 +402,7 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             crc = [zlib.crc32(ids[4 * a : 4 * e]) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
             docs = pd.Series(doc_ids).astype("Int64").where(pd.Series(valid))
             yield pd.DataFrame({"part": part, "seq": seq, "doc_id": docs, "inside": starts, "n_tokens": lengths, "ids_crc32": crc})
+    release()
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
