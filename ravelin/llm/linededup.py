@@ -1,9 +1,9 @@
 """Line dedup: equal lines and lines within an edit distance, in DataFrame
 functions alone.
 
-Lines of `MIN_CHARS` characters or more are compared, shorter ones always stay.
 Equal lines are one class, represented by its first occurrence (least doc_id,
-then line number). Different lines join if at most `EDITS` edits apart: a line
+then line number); the query takes lines of `EQUAL_CHARS` characters or more, that
+is all but empty ones. Different lines of `MIN_CHARS` characters or more join if at most `EDITS` edits apart: a line
 of length n is cut into EDITS + 1 segments, of which one must lie unchanged in
 any partner, so segments are indexed by (number, n, content) and each line probes,
 for every length from its own down to EDITS less, the substrings whose place the
@@ -32,6 +32,7 @@ from ravelin.llm.common import cut
 
 EDITS = 2
 MIN_CHARS = 24
+EQUAL_CHARS = 1
 #: Hashes of lines (8 bytes each) that are broadcast at most.
 MAX_SENT = 500_000
 #: Letters that are counted to rule candidates out; any letters do no harm.
@@ -160,18 +161,20 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     return cut(both.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")))
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row for each doc_id: n_lines, n_equal and n_near (lines that go because
+def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
+    """Lines of equal_chars (min_chars by default) or more go if an equal one came
+    earlier, lines of min_chars or more also if a linked one did. One row for each doc_id: n_lines, n_equal and n_near (lines that go because
     an equal or linked one came earlier), n_links (of the lines that first occur
     here), dropped (their numbers, ascending). Runs jobs."""
+    least = min_chars if equal_chars is None else min(equal_chars, min_chars)
     found = links(docs, edits, min_chars)
     gone = found.select(F.col("y.k1").alias("g1"), F.col("y.k2").alias("g2")).distinct()
-    first = firsts(lines(docs, min_chars).select("doc_id", "pos", "k1", "k2"))
+    first = firsts(lines(docs, least).select("doc_id", "pos", "k1", "k2"))
     first = first.join(gone, (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left").withColumn("near", F.col("g1").isNotNull())
     by_doc = first.groupBy(F.col("doc_id").alias("fid")).agg(F.collect_list(F.when(~F.col("near"), F.col("pos"))).alias("kept"), F.sum(F.col("near").cast("long")).alias("n_near"))
     ends = found.select(F.explode(F.array("x.doc_id", "y.doc_id")).alias("lid")).groupBy("lid").agg(F.count(F.lit(1)).alias("n_links"))
     split = F.split(F.col("text").cast("string"), "\n", -1)
-    long = F.filter(F.transform(split, lambda x, i: F.when(F.char_length(x) >= min_chars, i)), lambda i: i.isNotNull())
+    long = F.filter(F.transform(split, lambda x, i: F.when(F.char_length(x) >= least, i)), lambda i: i.isNotNull())
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.size(split), F.lit(0)).cast("long").alias("lines"), F.coalesce(long, F.array().cast("array<int>")).alias("long"))
     base = base.groupBy("doc_id").agg(F.sum("lines").alias("n_lines"), F.flatten(F.collect_list("long")).alias("long"))
     out = base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("fid")), "left").join(ends, F.col("doc_id").eqNullSafe(F.col("lid")), "left")
@@ -187,9 +190,9 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     )
 
 
-def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, equal_chars: int = EQUAL_CHARS) -> DataFrame:
     """docs with the dropped lines taken out of their texts. Runs jobs."""
-    gone = line_dedup(docs, edits, min_chars).select(F.col("doc_id").alias("__did"), F.col("dropped").alias("__dropped"))
+    gone = line_dedup(docs, edits, min_chars, equal_chars).select(F.col("doc_id").alias("__did"), F.col("dropped").alias("__dropped"))
     rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__did")), "left")
     split = F.split(F.col("text").cast("string"), "\n", -1)
     text = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__dropped"), i)), "\n")
@@ -197,5 +200,5 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 
 def line_dedup_query(docs: DataFrame) -> DataFrame:
-    """line_dedup() of all documents. Runs jobs."""
-    return line_dedup(docs)
+    """line_dedup() of all documents and all lines that aren't empty. Runs jobs."""
+    return line_dedup(docs, equal_chars=EQUAL_CHARS)

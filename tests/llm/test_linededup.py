@@ -80,3 +80,10 @@ def test_text_without_dropped_lines(spark):
     got = {r["doc_id"]: r["text"] for r in ld.deduplicate(documents(spark, [f"{line}\nend", f"start\n{line}", None])).collect()}
     assert got == {0: f"{line}\nend", 1: "start", 2: None}
     assert ld.line_dedup(documents(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_query_drops_equal_short_lines(spark):
+    texts = ["Les.\n\nAnd ornd.\nLes.", None, "Les.\nLes!\n\n" + BASE[0], BASE[0] + "\nAnd ornd.\nx", ""]
+    got = sorted(tuple(r) for r in ld.line_dedup_query(documents(spark, texts, extra=True)).collect())
+    assert got == [(0, 4, 1, 0, 0, [3]), (1, 0, 0, 0, 0, []), (2, 4, 1, 0, 0, [0]), (3, 3, 2, 0, 0, [0, 1]), (4, 1, 0, 0, 0, [])]
+    assert [r["text"] for r in ld.deduplicate(documents(spark, texts)).orderBy("doc_id").collect()] == ["Les.\n\nAnd ornd.", None, "Les!\n\n" + BASE[0], "x", ""]
