@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -249,19 +250,29 @@ def half_life(points: Sequence[tuple[float, float, float]]) -> tuple[float, floa
     return best(lam)[1], math.log(2) / lam
 
 
+#: Queries that cosine_topk broadcasts at once, about.
+QUERIES_AT_ONCE = 1024
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """(qid, vec_id, rank) of the k nearest by cosine for a stated set of queries,
-    which is broadcast if it is small; equal rounded scores are ordered by id."""
+    which is broadcast in blocks of about QUERIES_AT_ONCE, dealt by hashes of their
+    ids; equal rounded scores are ordered by id. Runs a job."""
     def norm(e: Column) -> Column:
         return F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
     q = queries.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe")).withColumn("qn", norm(F.col("qe")))
     v = vectors.withColumn("vn", norm(F.col("embedding")))
-    few = q.limit(1025).count() <= 1024
-    j = v.join(F.broadcast(q) if few else q, F.col("vec_id") != F.col("qid"))
     dot = F.aggregate(F.zip_with("embedding", "qe", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    s = j.select("qid", "vec_id", F.round(dot / (F.col("qn") * F.col("vn")), digits).alias("score"))
-    return _top(s, k)
+
+    def search(block: DataFrame) -> DataFrame:
+        j = v.join(F.broadcast(block), F.col("vec_id") != F.col("qid"))
+        return _top(j.select("qid", "vec_id", F.round(dot / (F.col("qn") * F.col("vn")), digits).alias("score")), k)
+
+    blocks = -(-q.count() // QUERIES_AT_ONCE)
+    if blocks <= 1:
+        return search(q)
+    return reduce(DataFrame.unionAll, [search(q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)) for i in range(blocks)])
 
 
 def _top(s: DataFrame, k: int) -> DataFrame:
