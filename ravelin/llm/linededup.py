@@ -1,183 +1,219 @@
 """Line dedup: equal lines and lines within an edit distance, in DataFrame
 functions alone.
 
-Equal lines are one class, represented by its first occurrence (least doc_id,
-then line number); the query takes lines of `EQUAL_CHARS` characters or more, that
-is all but empty ones. Different lines of `MIN_CHARS` characters or more join if at most `EDITS` edits apart: a line
-of length n is cut into EDITS + 1 segments, of which one must lie unchanged in
-any partner, so segments are indexed by (number, n, content) and each line probes,
-for every length from its own down to EDITS less, the substrings whose place the
-number of edits on either side allows. First, semi joins on the keys tell which
-lines have any partner at all, each once, so a group of many alike makes no more
-rows than it has. Only those lines are fetched and joined into pairs; pairs whose
-letter counts differ too far are dropped inside that join, and what is left is
-verified by Spark's levenshtein with a bound, a banded comparison (a bit-parallel one cannot be
-expressed in DataFrame functions; the distances are the same). A line goes if an
-equal or linked one came earlier.
-
-Of all lines only hashes are shuffled; the texts of those with partners are found
-again by their hashes, whose set is broadcast only up to `MAX_SENT` and joined by
-shuffle beyond.
+Every line but the empty one is compared. Equal lines are one class, represented
+by its first occurrence (least doc_id, then line number). Different lines link if
+they lie within the edits that the shorter one allows: none below 5 characters,
+one below 10, else `EDITS`. A line of length n with t edits is cut into t + 1
+segments, of which one must lie unchanged in any partner; so segments are
+indexed by (t, number, n, content) and each line probes, for every length from its
+own down, the substrings whose place the number of edits on either side allows.
+
+The texts are split once, into a table of the different lines: two hashes, the
+first place, the keys. One shuffle of the keys tells, by a window over each key,
+which lines share one with another line; a line leaves it once, however many
+partners it has. Only those lines are fetched and joined by their keys. Pairs
+whose letters differ too far in parity are dropped inside that join, those whose
+letter counts do after it, and what is left is verified by a banded bit-parallel edit distance: for each number of edits a
+bit-vector over the 2t + 1 diagonals of the band, all of whose cells one column of
+the comparison moves on by shifts and ors. Links are counted by line and not kept
+as pairs. A line goes if an equal or linked one came earlier.
+
+Hashes of lines to fetch are broadcast only up to `MAX_SENT`, else joined.
 
 Defined cases: null text has no lines; rows that share a doc_id count as one
-document; a null doc_id comes first; an empty table gives an empty result.
+document; a null doc_id comes first; of ties in the order of lines there are none
+but repeated rows, whose equal lines stand at one place; very long lines are
+compared like any others (the band has the same width for every length); columns
+with clashing names are neither read nor changed; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import cut
+from ravelin.llm.common import cut, fresh
 
 EDITS = 2
-MIN_CHARS = 24
-EQUAL_CHARS = 1
+#: Least lengths of the shorter line for one edit, two and so on: a fifth of it at most.
+PER_EDIT = 5
 #: Hashes of lines (8 bytes each) that are broadcast at most.
 MAX_SENT = 500_000
-#: Letters that are counted to rule candidates out; any letters do no harm.
-LETTERS = "etanoisrhldcumgbfpwyvkqz"
+#: Characters whose parities rule candidates out: an edit changes two at most; any
+#: ASCII characters do no harm.
+LETTERS = "etanoisrhldcum0123456789"
 
 
-def segments(n: int, edits: int = EDITS) -> list[tuple[int, int]]:
-    """(start, length) of the segments of a line of n characters, from 0: the same
-    rule as segment_columns, for tests."""
-    k, r = divmod(n, edits + 1)
-    out, at = [], 0
-    for i in range(edits + 1):
-        size = k + (i > edits - r)
-        out.append((at, size))
-        at += size
-    return out
+def allowed(n: int, edits: int = EDITS) -> int:
+    """Edits between two different lines of which the shorter has n characters."""
+    return min(edits, n // PER_EDIT)
 
 
-def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
-    k = F.floor(n / F.lit(edits + 1)).cast("int")
-    r = F.pmod(n, F.lit(edits + 1))
-    start = k * i + F.greatest(r - F.lit(edits + 1 - i), F.lit(0))
-    return start, k + F.when(F.lit(edits + 1 - i) <= r, 1).otherwise(0)
+def _allowed(n: Column, edits: int) -> Column:
+    return F.least(F.floor(n / F.lit(PER_EDIT)), F.lit(edits)).cast("int")
 
 
-def _index_keys(line: Column, n: Column, edits: int) -> list[Column]:
-    out = []
+def _probes(edits: int, less: int) -> set[tuple[int, int]]:
+    """(segment, move) of the probes for lines shorter by less. Of equal lengths
+    one line of a pair moves up, and where nothing moves the index key serves."""
+    out = set()
     for i in range(edits + 1):
-        start, size = _segment(n, i, edits)
-        out.append(F.xxhash64(F.lit(i), n, F.substring(line, start + 1, size)))
+        lo = max(-i, less - (edits - i)) if less else 1
+        out |= {(i, move) for move in range(lo, min(i, less + (edits - i)) + 1)}
     return out
 
 
-def _probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
-    """The key of every probe."""
-    out = []
+def with_keys(rows: DataFrame, edits: int = EDITS) -> DataFrame:
+    """rows (line and others, none named like the ones made here) with `keys`: all
+    keys of a line, null where it has fewer; the lowest bit tells index (1) from
+    probe (0). For each shorter length m: t edits, k the least size of a segment, r
+    how many of the last ones are one longer. Columns of their own keep the
+    generated code short enough to be compiled."""
+    cols = rows.columns
+    rows = rows.withColumn("n", F.char_length("line"))
     for less in range(edits + 1):
-        m = n - less
-        for i in range(edits + 1):
-            start, size = _segment(m, i, edits)
-            lo = max(-i, less - (edits - i)) if less else 0  # of equal lengths, one line of the pair moves up
-            hi = min(i, less + (edits - i))
-            for move in range(lo, hi + 1):
-                out.append(F.xxhash64(F.lit(i), m, F.substring(line, start + (move + 1), size)))
-    return out
-
-
-def _counts(line: Column) -> Column:
-    """Counts of LETTERS, each modulo 32, twelve to an integer."""
+        rows = rows.withColumn(f"t_{less}", F.expr(f"int(least((n - {less}) div {PER_EDIT}, {edits}))"))
+        rows = rows.select("*", F.expr(f"int((n - {less}) div (t_{less} + 1))").alias(f"k_{less}"), F.expr(f"(n - {less}) % (t_{less} + 1)").alias(f"r_{less}"))
     out = []
-    for part in range(0, len(LETTERS), 12):
-        packed = F.lit(0).cast("long")
-        for i, ch in enumerate(LETTERS[part : part + 12]):
-            c = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(ch), F.lit("")))
-            packed = packed.bitwiseOR(F.shiftleft(F.pmod(c, F.lit(32)).cast("long"), 5 * i))
-        out.append(packed)
-    return F.array(*out)
-
-
-def _close(a: Column, b: Column, edits: int) -> Column:
-    """False only if the counts differ by more than the edits can make: an edit
-    takes away one letter at most and adds one."""
-    apart = F.lit(0)
-    for part in range(-(-len(LETTERS) // 12)):
-        for i in range(min(12, len(LETTERS) - 12 * part)):
-            x, y = (F.shiftright(F.get(v, part), 5 * i).bitwiseAND(F.lit(31)) for v in (a, b))
-            d = F.pmod(x - y, F.lit(32))
-            apart = apart + F.least(d, F.lit(32) - d)
-    return apart <= 2 * edits
-
-
-def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, pos, line, k1, k2) of every line that is compared; k1 and k2 are
+    for less in range(edits + 1):
+        slots: dict[tuple[int, int, int], list[str]] = {}  # (segment, move, side) -> the edits that have it
+        for own in range(max(less, 1), edits + 1):
+            for i, move, side in [(i, 0, 1) for i in range(own + 1) if not less] + [(i, move, 0) for i, move in _probes(own, less)]:
+                slots.setdefault((i, move, side), []).append(str(own))
+        t, k, r = f"t_{less}", f"k_{less}", f"r_{less}"
+        for (i, move, side), who in sorted(slots.items()):
+            part = f"substring(line, {k} * {i} + greatest({r} + {i - 1} - {t}, 0) + {move + 1}, {k} + int({r} > {t} - {i}))"
+            out.append(f"CASE WHEN {t} IN ({', '.join(who)}) THEN xxhash64({t}, {i}, n - {less}, {part}) {'| 1' if side else '& -2'} END")
+    return rows.select(*cols, F.expr(f"array({', '.join(out)})").alias("keys"))
+
+
+def _parities(line: Column) -> Column:
+    """Whether each of LETTERS stands in a line an odd number of times, as bits."""
+    bits = F.lit(0).cast("long")
+    for i, ch in enumerate(LETTERS):
+        c = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(ch), F.lit("")))
+        bits = bits.bitwiseOR(F.shiftleft(c.bitwiseAND(F.lit(1)).cast("long"), i))
+    return bits
+
+
+def _letters_apart(a: str, b: str) -> Column:
+    """By how much the counts of LETTERS of two string columns differ in all: an
+    edit takes away one letter at most and adds one."""
+    grown = f"(octet_length({a}) - octet_length({b}))"
+    return F.expr(" + ".join(f"abs({grown} - octet_length(replace({a}, '{ch}', '')) + octet_length(replace({b}, '{ch}', '')))" for ch in LETTERS))
+
+
+def with_distance(rows: DataFrame, a: str, b: str, out: str, edits: int = EDITS) -> DataFrame:
+    """rows with the edit distance of two string columns if it is at most edits,
+    else null.
+
+    Bit p of the e-th vector says that after j characters of b, i = j + p - edits
+    characters of a can be matched with at most e edits. A character moves a
+    match along the diagonal, a replacement to the next vector, an insertion one
+    diagonal down and a deletion one up, in the column that it leads to.
+    """
+    x, y, apart = fresh(rows, "x", "y", "apart")
+    n, m = F.char_length(a), F.char_length(b)
+    chars = [F.when(F.col(c) != "", F.split(c, "")).otherwise(F.array().cast("array<string>")) for c in (a, b)]  # cut once, not for each character
+    rows = rows.withColumn(apart, n - m).withColumns({x: chars[0], y: chars[1]})
+    band = F.lit((1 << (2 * edits + 1)) - 1)
+
+    def matches(ch: Column, j: Column) -> Column:
+        bits = F.lit(0)
+        for p in range(2 * edits + 1):
+            bits = bits.bitwiseOR(F.when(F.get(F.col(x), j + (p - edits)) == ch, 1 << p).otherwise(0))
+        return bits
+
+    def column(state: Column, bits: Column) -> Column:
+        new: list[Column] = []
+        for e in range(edits + 1):
+            row = state[f"r{e}"].bitwiseAND(bits)
+            if e:
+                before = state[f"r{e - 1}"]
+                row = row.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(new[-1], 1))
+            new.append(row.bitwiseAND(band))
+        return F.struct(*[c.alias(f"r{e}") for e, c in enumerate(new)])
+
+    def least(state: Column) -> Column:
+        return F.coalesce(*[F.when(F.getbit(state[f"r{e}"], F.col(apart) + edits) == 1, e) for e in range(edits + 1)])
+
+    begin = F.struct(*[F.lit(((1 << (e + 1)) - 1) << edits).alias(f"r{e}") for e in range(edits + 1)])
+    found = F.when(F.abs(apart) <= edits, F.aggregate(F.transform(F.col(y), matches), begin, column, least))
+    return rows.withColumn(out, found).drop(x, y, apart)
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, line, k1, k2) of every line that isn't empty; k1 and k2 are
     independent hashes of it."""
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line"))
-    return each.filter(F.char_length("line") >= min_chars).select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), F.col("line")).alias("k2"))
+    return each.filter("line <> ''").select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), F.col("line")).alias("k2"))
 
 
-def firsts(each: DataFrame) -> DataFrame:
-    """(k1, k2, doc_id, pos) of the first occurrence of every different line."""
-    found = each.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    return found.select("k1", "k2", "first.doc_id", "first.pos")
+def different(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(k1, k2, doc_id, pos, keys) of the first occurrence of every different line.
+    Runs a job; the table stays in the shared folder."""
+    each = with_keys(lines(docs), edits).drop("line")
+    found = each.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.any_value("keys").alias("keys"))
+    return cut(found.select("k1", "k2", "first.doc_id", "first.pos", "keys"))
 
 
-def paired(each: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(id): k1 of the lines that share a key with a different line. Each key row
-    is emitted once however many partners it has."""
-    n = F.char_length("line")
-    index, probe = _index_keys(F.col("line"), n, edits), _probe_keys(F.col("line"), n, edits)
-    # Equal lines have equal keys, so a maximum is any of them and the grouping stays
-    # one of plain numbers; one array of all keys lets both sides share its shuffle.
-    found = each.groupBy("k1", "k2").agg(*[F.max(c).alias(f"c{i}") for i, c in enumerate([*index, *probe])])
-    own = found.select("k1", F.array(*[f"c{i}" for i in range(len(index) + len(probe))]).alias("keys"))
-    x = own.select(F.col("k1").alias("b"), F.explode(F.slice("keys", 1, len(index))).alias("key"))
-    y = own.select(F.col("k1").alias("a"), F.explode(F.slice("keys", len(index) + 1, len(probe))).alias("pkey"))
-    on = (F.col("pkey") == F.col("key")) & (F.col("a") != F.col("b"))
-    return y.join(x, on, "left_semi").select(F.col("a").alias("id")).union(x.join(y, on, "left_semi").select(F.col("b").alias("id"))).distinct()
+def partnered(found: DataFrame) -> DataFrame:
+    """(id): k1 of the lines that share a key, on the index side of one at least,
+    with another line. One shuffle; a line's key is one row."""
+    rows = found.select(F.col("k1").alias("id"), F.explode("keys").alias("v")).filter("v IS NOT NULL")
+    rows = rows.select("id", F.shiftright("v", 1).alias("key"), F.col("v").bitwiseAND(F.lit(1)).cast("byte").alias("side"))
+    w = Window.partitionBy("key")
+    rows = rows.select("id", F.max("side").over(w).alias("indexed"), F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi"))
+    return rows.filter("indexed = 1 AND lo <> hi").select("id").distinct()
 
 
 def candidates(some: DataFrame, edits: int = EDITS) -> DataFrame:
     """Pairs (a, b) of the k1 of different lines (k1, line) that share a key and
     whose letter counts do not rule them out."""
-    own = some.select("k1", "line", F.char_length("line").alias("n"), _counts(F.col("line")).alias("counts"))
-    index = own.select(F.explode(F.array(*_index_keys(F.col("line"), F.col("n"), edits))).alias("key"), F.col("k1").alias("b"), F.col("counts").alias("cb"))
-    keys = F.array(*_probe_keys(F.col("line"), F.col("n"), edits))
-    probe = own.select(F.explode(keys).alias("pkey"), F.col("k1").alias("a"), F.col("counts").alias("ca"))
-    near = (F.col("pkey") == F.col("key")) & (F.col("a") != F.col("b")) & _close(F.col("ca"), F.col("cb"), edits)
+    own = with_keys(some.select("k1", "line", _parities(F.col("line")).alias("odd")), edits).select("k1", "odd", F.explode("keys").alias("v"))
+    own = own.filter("v IS NOT NULL").select("k1", "odd", F.shiftright("v", 1).alias("key"), (F.col("v").bitwiseAND(F.lit(1)) == 1).alias("indexed"))
+    index = own.filter("indexed").select("key", F.col("k1").alias("b"), F.col("odd").alias("ob"))
+    probe = own.select(F.col("key").alias("pkey"), F.col("k1").alias("a"), F.col("odd").alias("oa"), F.col("indexed").alias("both"))
+    once = ~F.col("both") | (F.col("a") < F.col("b"))  # two index keys meet from either side
+    near = (F.col("pkey") == F.col("key")) & (F.col("a") != F.col("b")) & once & (F.bit_count(F.col("oa").bitwiseXOR(F.col("ob"))) <= 2 * edits)
     return probe.join(index, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Linked pairs of different lines: structs x and y (k1, k2, doc_id, pos of the
-    first occurrence), x the earlier. Runs jobs."""
-    each = lines(docs, min_chars)
-    ids = cut(paired(each, edits))
+def linked(docs: DataFrame, found: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(k1, k2, doc_id, n_links, near) of the lines with links: how many different
+    lines link to it, and whether one of them came earlier. Runs jobs."""
+    ids = cut(partnered(found))
     sent = F.broadcast(ids) if ids.count() <= MAX_SENT else ids
-    some = each.join(sent, each["k1"] == F.col("id"), "left_semi")
-    some = cut(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("line").alias("line")))
-    pairs = candidates(some, edits)
+    some = lines(docs).join(sent, F.col("k1") == F.col("id"), "left_semi")
+    some = cut(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.any_value("line").alias("line")))
 
     def side(name: str, key: str) -> DataFrame:
-        return some.select(F.col("k1").alias(key), F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), "k1", "k2").alias(name), F.col("line").alias(f"{name}_line"))
+        return some.select(F.col("k1").alias(key), F.struct("first.doc_id", "first.pos", "k1", "k2").alias(name), F.col("line").alias(f"{name}_line"))
 
-    both = pairs.join(side("u", "a"), "a").join(side("v", "b"), "b")
-    both = both.filter(F.levenshtein("u_line", "v_line", edits) >= 0)
-    return cut(both.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")))
+    both = candidates(some, edits).join(side("u", "a"), "a").join(side("v", "b"), "b").filter(_letters_apart("u_line", "v_line") <= 2 * edits)
+    n = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = both.repartition(n, "a", "b")  # few rows, each of them costly: to all cores
+    both = with_distance(both, "u_line", "v_line", "apart", edits).filter(F.col("apart") <= _allowed(F.least(F.char_length("u_line"), F.char_length("v_line")), edits))
+    ends = both.select(F.explode(F.array(F.struct(F.col("u").alias("own"), (F.col("v") < F.col("u")).alias("near")), F.struct(F.col("v").alias("own"), (F.col("u") < F.col("v")).alias("near")))).alias("end"))
+    ends = ends.select(F.col("end.own.k1").alias("k1"), F.col("end.own.k2").alias("k2"), F.col("end.own.doc_id").alias("doc_id"), F.col("end.near").cast("int").alias("near"))
+    return cut(ends.groupBy("k1", "k2", "doc_id").agg(F.count(F.lit(1)).alias("n_links"), F.max("near").alias("near")))
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
-    """Lines of equal_chars (min_chars by default) or more go if an equal one came
-    earlier, lines of min_chars or more also if a linked one did. One row for each doc_id: n_lines, n_equal and n_near (lines that go because
+def line_dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """One row for each doc_id: n_lines, n_equal and n_near (lines that go because
     an equal or linked one came earlier), n_links (of the lines that first occur
     here), dropped (their numbers, ascending). Runs jobs."""
-    least = min_chars if equal_chars is None else min(equal_chars, min_chars)
-    found = links(docs, edits, min_chars)
-    gone = found.select(F.col("y.k1").alias("g1"), F.col("y.k2").alias("g2")).distinct()
-    first = firsts(lines(docs, least).select("doc_id", "pos", "k1", "k2"))
-    first = first.join(gone, (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left").withColumn("near", F.col("g1").isNotNull())
-    by_doc = first.groupBy(F.col("doc_id").alias("fid")).agg(F.collect_list(F.when(~F.col("near"), F.col("pos"))).alias("kept"), F.sum(F.col("near").cast("long")).alias("n_near"))
-    ends = found.select(F.explode(F.array("x.doc_id", "y.doc_id")).alias("lid")).groupBy("lid").agg(F.count(F.lit(1)).alias("n_links"))
+    found = different(docs, edits)
+    links = linked(docs, found, edits).select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "near", "n_links")
+    first = found.join(links, (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left").withColumn("near", F.coalesce("near", F.lit(0)))
+    by_doc = first.groupBy(F.col("doc_id").alias("fid")).agg(F.collect_list(F.when(F.col("near") == 0, F.col("pos"))).alias("kept"), F.sum("near").cast("long").alias("n_near"), F.sum("n_links").alias("n_links"))
     split = F.split(F.col("text").cast("string"), "\n", -1)
-    long = F.filter(F.transform(split, lambda x, i: F.when(F.char_length(x) >= least, i)), lambda i: i.isNotNull())
+    long = F.filter(F.transform(split, lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.size(split), F.lit(0)).cast("long").alias("lines"), F.coalesce(long, F.array().cast("array<int>")).alias("long"))
     base = base.groupBy("doc_id").agg(F.sum("lines").alias("n_lines"), F.flatten(F.collect_list("long")).alias("long"))
-    out = base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("fid")), "left").join(ends, F.col("doc_id").eqNullSafe(F.col("lid")), "left")
+    out = base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("fid")), "left")
     kept = F.coalesce("kept", F.array().cast("array<int>"))
     near = F.coalesce("n_near", F.lit(0)).cast("long")
     return out.select(
@@ -190,15 +226,16 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     )
 
 
-def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, equal_chars: int = EQUAL_CHARS) -> DataFrame:
+def deduplicate(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """docs with the dropped lines taken out of their texts. Runs jobs."""
-    gone = line_dedup(docs, edits, min_chars, equal_chars).select(F.col("doc_id").alias("__did"), F.col("dropped").alias("__dropped"))
-    rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__did")), "left")
+    did, dropped = fresh(docs, "did", "dropped")
+    gone = line_dedup(docs, edits).select(F.col("doc_id").alias(did), F.col("dropped").alias(dropped))
+    rows = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[did]), "left")
     split = F.split(F.col("text").cast("string"), "\n", -1)
-    text = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__dropped"), i)), "\n")
+    text = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col(dropped), i)), "\n")
     return rows.withColumn("text", F.when(F.col("text").isNotNull(), text)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup_query(docs: DataFrame) -> DataFrame:
-    """line_dedup() of all documents and all lines that aren't empty. Runs jobs."""
-    return line_dedup(docs, equal_chars=EQUAL_CHARS)
+    """line_dedup() of all documents and all lines. Runs jobs."""
+    return line_dedup(docs)

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import pytest
@@ -16,24 +17,25 @@ def distance(a, b):
     return row[-1]
 
 
-def expected(texts, edits=ld.EDITS, least=ld.MIN_CHARS):
+def expected(texts, edits=ld.EDITS):
     first, every = {}, []
     for d, t in enumerate(texts):
         for p, line in enumerate((t or "").split("\n") if t is not None else []):
             every.append((d, p, line))
-            if len(line) >= least:
+            if line:
                 first.setdefault(line, (d, p))
     links = defaultdict(set)
     for a in first:
         for b in first:
-            if a < b and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+            most = ld.allowed(min(len(a), len(b)), edits)
+            if a < b and abs(len(a) - len(b)) <= most and distance(a, b) <= most:
                 links[a].add(b)
                 links[b].add(a)
     out = {d: [d, 0, 0, 0, 0, []] for d in range(len(texts))}
     for d, p, line in every:
         r = out[d]
         r[1] += 1
-        if len(line) < least:
+        if not line:
             continue
         if first[line] != (d, p):
             r[2] += 1
@@ -60,19 +62,50 @@ def variants():
     return texts
 
 
-@pytest.mark.parametrize("texts", [variants(), ["", None, "only\nshort"], ["x" * 50 + "\n" + "x" * 51 + "\n" + "x" * 54]])
+def of_all_lengths():
+    """Lines of 0 to 200 characters over few letters, with up to three edits."""
+    r = random.Random(10)
+    out = []
+    for n in [*range(27), 40, 63, 64, 65, 130, 200]:
+        line = "".join(r.choice("abcé ") for _ in range(n))
+        out.append(line)
+        for _ in range(4):
+            x = list(line)
+            for _ in range(r.randint(0, 3)):
+                at = r.randint(0, len(x))
+                how = r.randint(0, 2)
+                x[at : at + (how != 2)] = [] if how == 1 else [r.choice("abcé +")]
+            out.append("".join(x))
+    r.shuffle(out)
+    return ["\n".join(out[i : i + 7]) for i in range(0, len(out), 7)]
+
+
+def templates():
+    return ["\n".join(f"Page {i} of 600 in this book" for i in range(d, d + 12)) for d in range(0, 96, 12)]
+
+
+@pytest.mark.parametrize("texts", [variants(), of_all_lengths(), templates(), ["", None, "only\nshort"], ["x" * 50 + "\n" + "x" * 51 + "\n" + "x" * 54]])
 def test_against_brute_force(spark, texts):
     got = sorted(tuple(r) for r in ld.line_dedup(documents(spark, texts, extra=True)).collect())
     assert got == expected(texts)
 
 
-def test_segments_cover_the_line(spark):
-    for n in range(24, 60):
-        parts = ld.segments(n)
-        assert sum(s for _, s in parts) == n
-        cols = [ld._segment(ld.F.lit(n), i, ld.EDITS) for i in range(3)]
-        got = spark.range(1).select(*[x.alias(f"c{i}{j}") for i, c in enumerate(cols) for j, x in enumerate(c)]).first()
-        assert [(got[f"c{i}0"], got[f"c{i}1"]) for i in range(3)] == parts
+def test_bit_parallel_distance(spark):
+    r = random.Random(3)
+    words = ["", "a", *("".join(r.choice("abü") for _ in range(r.randint(0, 90))) for _ in range(60))]
+    pairs = [(w, v) for w in words[:20] for v in words[:20]]
+    for w in words:
+        x = list(w)
+        for _ in range(r.randint(0, 4)):
+            x[r.randint(0, len(x)) :][:1] = []
+            x.insert(r.randint(0, len(x)), r.choice("abx"))
+            del x[r.randrange(len(x))]
+        pairs.append((w, "".join(x)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for edits in (1, 2, 4):
+        for row in ld.with_distance(df, "a", "b", "d", edits).collect():
+            true = distance(row["a"], row["b"])
+            assert row["d"] == (true if true <= edits else None), row
 
 
 def test_text_without_dropped_lines(spark):
