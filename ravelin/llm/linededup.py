@@ -14,10 +14,11 @@ first place, the keys. One shuffle of the keys tells, by a window over each key,
 which lines share one with another line; a line leaves it once, however many
 partners it has. Only those lines are fetched and joined by their keys. Pairs
 whose letters differ too far in parity are dropped inside that join, those whose
-letter counts do after it, and what is left is verified by a banded bit-parallel edit distance: for each number of edits a
-bit-vector over the 2t + 1 diagonals of the band, all of whose cells one column of
-the comparison moves on by shifts and ors. Links are counted by line and not kept
-as pairs. A line goes if an equal or linked one came earlier.
+letter counts do after it, and what is left is verified by a banded bit-parallel
+edit distance: for each number of edits a bit-vector over the 2t + 1 diagonals of
+the band, all of whose cells one column of the comparison moves on by shifts and
+ors. Links are counted by line and not kept as pairs. A line goes if an equal or
+linked one came earlier.
 
 Hashes of lines to fetch are broadcast only up to `MAX_SENT`, else joined.
 
@@ -174,11 +175,12 @@ def candidates(some: DataFrame, edits: int = EDITS) -> DataFrame:
     whose letter counts do not rule them out."""
     own = with_keys(some.select("k1", "line", _parities(F.col("line")).alias("odd")), edits).select("k1", "odd", F.explode("keys").alias("v"))
     own = own.filter("v IS NOT NULL").select("k1", "odd", F.shiftright("v", 1).alias("key"), (F.col("v").bitwiseAND(F.lit(1)) == 1).alias("indexed"))
+    own = cut(own)  # adaptive execution plans the join anew after each stage: without the long expressions
     index = own.filter("indexed").select("key", F.col("k1").alias("b"), F.col("odd").alias("ob"))
     probe = own.select(F.col("key").alias("pkey"), F.col("k1").alias("a"), F.col("odd").alias("oa"), F.col("indexed").alias("both"))
     once = ~F.col("both") | (F.col("a") < F.col("b"))  # two index keys meet from either side
     near = (F.col("pkey") == F.col("key")) & (F.col("a") != F.col("b")) & once & (F.bit_count(F.col("oa").bitwiseXOR(F.col("ob"))) <= 2 * edits)
-    return probe.join(index, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return cut(probe.join(index, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def linked(docs: DataFrame, found: DataFrame, edits: int = EDITS) -> DataFrame:
