@@ -79,11 +79,13 @@ def template(parts: dict[str, Column], layout: str, blank: str = "(none)") -> Co
 
 
 def note_code(note: Column, codes: dict[str, str]) -> Column:
-    """A free note as a code: Turkish letters folded, lower case, letters only,
-    and then the whole note looked up; null if it is none of them."""
-    folded = F.lower(F.translate(note, "İIıŞşĞğÜüÖöÇç", "iiissgguuoocc"))
-    plain = F.regexp_replace(folded, "[^a-z]", "")
-    return F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[plain] if codes else F.lit(None).cast("string")
+    """A free note as a code: Turkish letters folded, lower case, letters only, and
+    then the whole note looked up. A note that is no code stays as it is, trimmed;
+    blank ones are null."""
+    kept = F.nullif(F.trim(note), F.lit(""))
+    folded = F.lower(F.translate(kept, "çğıöşüâîûÇĞİIÖŞÜ", "cgiosuaiucgiiosu"))
+    plain = F.regexp_replace(folded, r"[^\p{L}]", "")
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[plain], kept) if codes else kept
 
 
 def common_prefix_length(least: Column, most: Column) -> Column:
@@ -93,7 +95,26 @@ def common_prefix_length(least: Column, most: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.size(F.filter(same, lambda x: x)))
 
 
-def valid_label(payload: Column, labels, fields) -> Column:
-    """Whether a JSON object has exactly the fields, and a known label in the first."""
+def valid_label(payload: Column, labels, fields, known: dict | None = None) -> Column:
+    """Whether a JSON object has exactly the fields, a known label in the first, and
+    in each field of known one of its values."""
     keys = F.json_object_keys(payload)
-    return F.coalesce((F.array_sort(keys) == F.array(*[F.lit(f) for f in sorted(fields)])) & F.get_json_object(payload, f"$.{fields[0]}").isin(*labels), F.lit(False))
+    ok = F.array_sort(keys) == F.array(*[F.lit(f) for f in sorted(fields)])
+    for field, values in ({fields[0]: labels} | (known or {})).items():
+        ok = ok & F.get_json_object(payload, f"$.{field}").isin(*values)
+    return F.coalesce(ok, F.lit(False))
+
+
+def percent(share: float | None, digits: int = 1) -> str:
+    """A share as text for reports, on the driver; a dash if it is not known."""
+    return "-" if share is None else f"{share * 100:.{digits}f}%"
+
+
+def thousands(n: int | None) -> str:
+    """A count as text for reports."""
+    return "-" if n is None else f"{n:,}"
+
+
+def times(ratio: float | None, digits: int = 2) -> str:
+    """A ratio as text for reports."""
+    return "-" if ratio is None else f"{ratio:.{digits}f}×"

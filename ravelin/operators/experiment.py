@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,13 +129,15 @@ def pairs_sha256(pairs: DataFrame, user: str = "user_id") -> DataFrame:
     return pairs.agg(F.sha2(F.array_join(F.transform(each, lambda s: F.concat(s["u"], F.lit("\t"), s["i"], F.lit("\n"))), "").cast("binary"), 256).alias("sha256"))
 
 
-def cooccurrence_topk(split: DataFrame, k: int, most_per_user: int = 200, user: str = "user_id") -> DataFrame:
+def cooccurrence_topk(split: DataFrame, k: int, most_per_user: int | None = None, user: str = "user_id") -> DataFrame:
     """(user, item, rank, score) by item-to-item co-occurrence in train: score is
     the sum over a user's items of common users / sqrt(product of users). A user
-    brings at most most_per_user newest items (documented bound of the model)."""
+    brings all items, or at most most_per_user newest ones."""
     train = split.filter("split = 'train'")
     newest = Window.partitionBy(user).orderBy(F.desc("ts"), F.desc("row_id"))
-    ui = train.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= most_per_user).select(user, "item").distinct()
+    if most_per_user is not None:
+        train = train.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= most_per_user)
+    ui = train.select(user, "item").distinct()
     pop = ui.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     x, y = ui.withColumnRenamed("item", "a"), ui.withColumnRenamed("item", "b")
     co = x.join(y, user).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
@@ -184,3 +187,85 @@ def benchmark_split(split: DataFrame, label: str = "self") -> DataFrame:
     """The rows of the benchmark's files: train and valid as they are, of test those
     with the label."""
     return split.filter((F.col("split") != "test") | (F.col("label") == label))
+
+
+#: The pairs of conditions that are contrasted; C4 and C4b are the placebos.
+CONTRASTS = (("C1", "C4"), ("C1", "C0"), ("C3", "C1"), ("C3", "C0"), ("C1b", "C4b"))
+
+
+def replicate_mean(runs: Sequence[DataFrame], metric: str, user: str = "user_id") -> DataFrame:
+    """(user, metric): the mean over replicates of each user's value; raises unless
+    all replicates hold the same users, each once. Runs a job."""
+    every = reduce(DataFrame.unionAll, [r.select(user, metric) for r in runs])
+    g = every.groupBy(user).agg(F.avg(metric).alias(metric), F.count(F.lit(1)).alias("__n"))
+    if g.filter(F.col("__n") != len(runs)).limit(1).count():
+        raise ValueError("replicates are of different users")
+    return g.drop("__n")
+
+
+def contrasts(runs: Mapping[tuple[str, int], DataFrame], metric: str, pairs: Sequence[tuple[str, str]] = CONTRASTS, user: str = "user_id") -> DataFrame:
+    """(a, b, n_seeds, n_users, mean_a, mean_b, diff) for each pair of conditions that
+    have seeds in common: users' means over these seeds, compared in pairs. runs:
+    per-user metrics by (condition, seed). Runs jobs."""
+    from ravelin.operators.stats import paired
+
+    out = None
+    for a, b in pairs:
+        seeds = sorted({s for c, s in runs if c == a} & {s for c, s in runs if c == b})
+        if not seeds:
+            continue
+        x, y = (replicate_mean([runs[c, s] for s in seeds], metric, user) for c in (a, b))
+        row = paired(x, y, metric, user).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(len(seeds)).alias("n_seeds"), "n_users", "mean_a", "mean_b", "diff")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+def exposure_contrasts(groups: DataFrame, a: DataFrame, b: DataFrame, metric: str, user: str = "user_id") -> DataFrame:
+    """(exposure, n_users, mean_a, mean_b, diff) of the paired difference inside each
+    group of exposure()."""
+    j = a.select(user, F.col(metric).alias("x")).join(b.select(user, F.col(metric).alias("y")), user).join(groups, user)
+    return j.groupBy("exposure").agg(F.count(F.lit(1)).alias("n_users"), F.avg("x").alias("mean_a"), F.avg("y").alias("mean_b"), F.avg(F.col("x") - F.col("y")).alias("diff"))
+
+
+def atomic(core: DataFrame, labels: DataFrame, key: str = "row_id") -> DataFrame:
+    """The rows of the k-core with their labels, split by leave-one-out: every core
+    row must have exactly one label, else it raises. Runs jobs."""
+    from ravelin.operators.relational import join_checked
+    from ravelin.operators.sequence import leave_one_out
+
+    return leave_one_out(join_checked(core, labels.select(key, "label"), [key]))
+
+
+def consistency(per_user: DataFrame, reported: Mapping[str, float], user: str = "user_id", within: float = 5e-7) -> DataFrame:
+    """One row: users, users told twice, and for each reported metric whether the
+    mean of the users' values is it within half a unit of the sixth place."""
+    means = [(F.abs(F.avg(m) - F.lit(float(v))) <= within).alias(f"{m}_ok") for m, v in reported.items()]
+    return per_user.agg(F.count(F.lit(1)).alias("n_users"), (F.count(F.lit(1)) - F.count_distinct(user)).alias("repeated"), *means)
+
+
+#: Names of metrics in libraries of recommenders, and ours.
+METRIC_NAMES = {"HitRate": "hit", "Hit": "hit", "Recall": "recall", "NDCG": "ndcg"}
+
+
+def metric_name(name: str) -> str:
+    """Another library's "Metric@k" as metric_k."""
+    base, _, k = name.partition("@")
+    return "_".join([METRIC_NAMES.get(base, base.lower()), *([k] if k else [])])
+
+
+def run_record(condition: str, seed: int, params: Mapping, stopped_at: int | None = None) -> dict:
+    """What is kept of a run beside its metrics: parameters, where it stopped early,
+    versions."""
+    import platform
+
+    import pyspark
+
+    return {"condition": condition, "seed": seed, "params": dict(params), "stopped_at": stopped_at, "versions": {"python": platform.python_version(), "pyspark": pyspark.__version__}}
+
+
+def job_order(jobs: DataFrame, conditions: Sequence[str] = ("C0", "C1", "C4", "C3", "C1b", "C4b")) -> DataFrame:
+    """jobs (role, condition, model, seed) with `place`, 1 and up: by seed, then the
+    conditions as listed, then role and model, so that a run broken off leaves whole
+    seeds. For some hundreds of jobs: they meet in one window."""
+    rank = F.array_position(F.array(*[F.lit(c) for c in conditions]), F.col("condition"))
+    return jobs.withColumn("place", F.row_number().over(Window.orderBy("seed", rank, "role", "model")))

@@ -31,6 +31,17 @@ def gift_buckets(history: DataFrame, gift: Column, own: Column, only: DataFrame,
     return last.select(user, category).join(after, user, "left").select(user, category, F.least(F.coalesce("n", F.lit(0)), F.lit(most)).cast("int").alias("bucket"))
 
 
+def excess_points(buckets: DataFrame, a: DataFrame, b: DataFrame, items: DataFrame, k: int, user: str = "user_id", category: str = "subcat") -> DataFrame:
+    """(bucket, n_users, share_a, share_b, excess) from gift_buckets(): the mean
+    shares of the lists a and b that lie in the category of a user's last gift, and
+    their difference; users that lack a list are left out."""
+    target = buckets.select(user, category)
+    x = list_share(a, items, target, k, user, category).withColumnRenamed("share", "x")
+    y = list_share(b, items, target, k, user, category).withColumnRenamed("share", "y")
+    g = buckets.join(x, user).join(y, user).groupBy("bucket")
+    return g.agg(F.count(F.lit(1)).alias("n_users"), F.avg("x").alias("share_a"), F.avg("y").alias("share_b"), F.avg(F.col("x") - F.col("y")).alias("excess"))
+
+
 def terciles(lengths: DataFrame, n: str = "n", user: str = "user_id") -> DataFrame:
     """(user, tercile) by linear quantiles at 1/3 and 2/3; ties go low."""
     cuts = lengths.agg(F.percentile(n, [1 / 3, 2 / 3]).alias("q"))

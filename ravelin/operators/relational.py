@@ -108,6 +108,24 @@ def top_n_within(df: DataFrame, group: str, value: str, n: int) -> DataFrame:
     return top.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
 
 
+def first_by_key(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The first row of each key that isn't null, in the order, and one row of facts:
+    n_no_key, n_repeated (rows left out), n, null_rate_<column> of the given ones."""
+    first = dedup(df.filter(F.col(key).isNotNull()), [key], order)
+    kept = first.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).isNull().cast("double")).alias(f"null_rate_{c}") for c in columns])
+    every = df.agg(F.count_if(F.col(key).isNull()).alias("n_no_key"), F.count(key).alias("__with"))
+    return first, every.crossJoin(kept).withColumn("n_repeated", F.col("__with") - F.col("n")).drop("__with")  # single rows
+
+
+def union_relaxed(parts: Sequence[DataFrame], types: dict[str, str]) -> DataFrame:
+    """All rows of tables whose columns differ in type: each is cast to the given one."""
+    out = None
+    for p in parts:
+        p = p.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 def same_keys(a: DataFrame, b: DataFrame, key: str) -> bool:
     """Whether both hold the same set of keys. Runs jobs."""
     x, y = a.select(key).distinct(), b.select(key).distinct()

@@ -7,6 +7,7 @@ only where a caller asks for a dict.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,26 +29,21 @@ def allocate(counts: DataFrame, total: int, key: str = "stratum", n: str = "n")
 
 
 def share_allocation(shares: Mapping[str, float], total: int, caps: Mapping[str, int] | None = None) -> dict[str, int]:
-    """total dealt by fixed shares (largest remainder, ties by key); what a cap holds
-    back goes in turn to those below theirs. For some tens of keys."""
-    caps = dict(caps or {})
-    weight = sum(shares.values())
-    if not weight or total <= 0:
-        return dict.fromkeys(shares, 0)
-    exact = {k: total * v / weight for k, v in shares.items()}
-    out = {k: int(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (-(exact[k] - out[k]), k))[: total - sum(out.values())]:
-        out[k] += 1
-    for k in out:
-        out[k] = min(out[k], caps.get(k, out[k]))
-    free = total - sum(out.values())
-    while free > 0:
-        able = [k for k in sorted(out, key=lambda k: (-shares[k], k)) if shares[k] > 0 and out[k] < caps.get(k, total)]
+    """total dealt by fixed shares, taken as they are: each key gets the whole part of
+    its share under its cap, and what is left goes round, one each, by largest
+    fraction and then key, to those below their caps. For some tens of keys."""
+    most = {k: (caps or {}).get(k, max(total, 0)) for k in shares}
+    exact = {k: max(total, 0) * v for k, v in shares.items()}
+    out = {k: min(math.floor(x), most[k]) for k, x in exact.items()}
+    left = min(max(total, 0), sum(most.values())) - sum(out.values())
+    turns = sorted(shares, key=lambda k: (math.floor(exact[k]) - exact[k], repr(k)))
+    while left > 0:
+        able = [k for k in turns if out[k] < most[k]][:left]
+        for k in able:
+            out[k] += 1
+        left -= len(able)
         if not able:
             break
-        for k in able[:free]:
-            out[k] += 1
-        free = total - sum(out.values())
     return out
 
 
@@ -142,3 +138,22 @@ def text_drift(sample: DataFrame, corpus: DataFrame, key: Sequence[str], text: s
     j = sample.join(c, list(key), "left")
     there = F.coalesce("__there", F.lit(False))
     return j.agg(F.count(F.lit(1)).alias("n"), F.count_if(~there).alias("missing"), F.count_if(there & ~F.col(text).eqNullSafe(F.col("__theirs"))).alias("drifted"))
+
+
+def with_texts(sample: DataFrame, texts: DataFrame, titles: DataFrame, key: str = "row_id") -> DataFrame:
+    """sample with the text of its rows (texts: key, text; a row without one raises
+    nothing but is left out) and the title (titles: key, title), blank where there
+    is none, and no_title."""
+    rows = sample.join(texts.select(key, "text"), key)
+    rows = rows.join(titles.select(key, F.col("title").alias("__title")), key, "left")
+    title = F.coalesce(F.trim("__title"), F.lit(""))
+    return rows.withColumn("title", title).withColumn("no_title", title == "").drop("__title")
+
+
+def rebuilt(sample: DataFrame, corpus: DataFrame, extra: DataFrame, key: str = "row_id") -> DataFrame:
+    """sample (key, text) joined anew with its corpus and with extra columns by key;
+    raises if a row is missing or its text differs. Runs a job."""
+    n, missing, drifted = text_drift(sample, corpus, [key]).first()
+    if missing or drifted:
+        raise ValueError(f"{missing} of {n} rows are missing, the text of {drifted} differs")
+    return sample.drop("text").join(corpus, key).join(extra, key, "left")

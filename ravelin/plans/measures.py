@@ -265,16 +265,6 @@ def m3_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mk.terciles(orders_log(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query()
-def m2_half_life(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fit itself: no SQL for it; tested against worlds with a known half life."""
-    h = _history(spark, sf_dir)
-    b = mk.gift_buckets(h, _hit(), F.col("label") == "self", mk.gift_only(h, _hit())).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("bucket < 10").collect()
-    total = sum(r["n"] for r in b) or 1
-    fit = stats.half_life([(r["bucket"], r["n"] / total, r["n"]) for r in b])
-    return spark.createDataFrame([fit or (None, None)], "amplitude double, half_life double")
-
-
 @query(f"""WITH {SPLIT} SELECT split, label, count(*) AS n FROM sp GROUP BY 1, 2""")
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.leave_one_out(events_log(spark, sf_dir)).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))

@@ -10,36 +10,44 @@ def rows(df):
 
 
 def test_k_core_cascade(spark):
-    df = spark.createDataFrame([(0, "u1", "i1"), (1, "u1", "i2"), (2, "u2", "i1"), (3, "u2", "i2"), (4, "u3", "i1"), (5, "u3", "i3")], "row_id int, user_id string, item string")
-    core, passes = rel.k_core(df, 2)
-    assert {r["row_id"] for r in core.collect()} == {0, 1, 2, 3}
-    assert passes == [(1, 5), (2, 4), (3, 4)] or (passes[-1][1] == 4 and len(passes) > 1)
+    """A block of three by three; w hangs on e, d hangs on w."""
+    pairs = [(u, i) for u in "abc" for i in "xyz"] + [("d", "x"), ("d", "y"), ("d", "w"), ("e", "w"), ("e", "x"), ("a", "w")]
+    core, passes = rel.k_core(spark.createDataFrame(pairs, "user_id string, item string"), 3)
+    assert rows(core.select("user_id", "item")) == sorted((u, i) for u in "abc" for i in "xyz")
+    assert passes == [(1, 13), (2, 11), (3, 9), (4, 9)]
 
 
 def test_k_core_may_end_empty(spark):
-    df = spark.createDataFrame([("u1", "i1"), ("u2", "i2")], "user_id string, item string")
-    core, passes = rel.k_core(df, 5)
+    ring = spark.createDataFrame([(n, n) for n in range(3)] + [(n, (n + 1) % 3) for n in range(3)], "user_id int, item int")
+    core, passes = rel.k_core(ring, 3)
     assert core.count() == 0 and passes == [(1, 0)]
 
 
-REVIEWS = [
-    ("u1", "i1", 1600000000000, True, 9), ("u1", "i1", 1700000000000, True, 7), ("u1", "i2", 1610000000000, True, 8),
-    ("u2", "i1", 1620000000000, True, 7), ("u2", "i2", 1630000000000, True, 7), ("u3", "i1", 1640000000000, True, 7),
-    ("u3", "i3", 1650000000000, True, 7), ("u4", "i4", 1660000000000, False, 6), ("u5", "i5", 1670000000000, True, 1),
+VISITS = [
+    ("ben", "park", 30, True, 12), ("ben", "park", 10, True, 8), ("ben", "lake", 20, False, 9), ("cleo", "park", 5, True, 2),
+    ("cleo", "mill", 7, True, 6), ("cleo", "mill", 7, True, 7), ("dov", "lake", 1, True, 5),
 ]
 
 
 def test_funnel_and_dedup(spark):
     from pyspark.sql import Window
 
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(REVIEWS)], "row_id int, user_id string, item string, ts long, verified boolean, n_words int")
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(VISITS)], "row_id int, user_id string, item string, ts long, verified boolean, n_words int")
     first = F.row_number().over(Window.partitionBy("user_id", "item").orderBy("ts", "row_id")) == 1
-    stages = [("raw", F.lit(True)), ("verified", F.col("verified")), ("words", F.col("n_words") >= 5), ("dedup", F.col("first"))]
-    got = {r["stage"]: r["n_rows"] for r in rel.funnel(df.withColumn("first", first), stages).collect()}
-    assert got == {"raw": 9, "verified": 8, "words": 7, "dedup": 6}
-    kept = rel.dedup(df, ["user_id", "item"], ["ts", "row_id"]).filter("user_id = 'u1' AND item = 'i1'").collect()
-    assert [r["ts"] for r in kept] == [1600000000000]
-    assert rel.dedup(df, ["user_id", "item"], ["ts", "row_id"], last=True).filter("user_id = 'u1' AND item = 'i1'").first()["ts"] == 1700000000000
+    stages = [("all", F.lit(True)), ("verified", F.col("verified")), ("long", F.col("n_words") >= 5), ("first", F.col("first"))]
+    got = {r["stage"]: (r["n_rows"], r["n_users"], r["n_items"]) for r in rel.funnel(df.withColumn("first", first), stages).collect()}
+    assert got == {"all": (7, 3, 3), "verified": (6, 3, 3), "long": (5, 3, 3), "first": (3, 3, 3)}
+    assert {r["row_id"] for r in rel.dedup(df, ["user_id", "item"], ["ts", "row_id"]).collect()} == {1, 2, 3, 4, 6}
+    assert {r["row_id"] for r in rel.dedup(df, ["user_id", "item"], ["ts", "row_id"], last=True).collect()} == {0, 2, 3, 5, 6}
+
+
+def test_first_by_key_and_relaxed_union(spark):
+    df = spark.createDataFrame([("b", 2, None), ("b", 1, "x"), (None, 3, "y"), ("c", 4, None)], "k string, n int, v string")
+    first, facts = rel.first_by_key(df, "k", ["n"], ["v"])
+    assert rows(first.select("k", "n")) == [("b", 1), ("c", 4)]
+    assert facts.first().asDict() == {"n_no_key": 1, "n": 2, "null_rate_v": 0.5, "n_repeated": 1}
+    both = rel.union_relaxed([spark.createDataFrame([(1,)], "n int"), spark.createDataFrame([("2",)], "n string")], {"n": "bigint"})
+    assert rows(both) == [(1,), (2,)]
 
 
 def test_join_checked(spark):
@@ -68,17 +76,17 @@ def test_nearest_quantile_narrows_down(spark):
     assert rel.nearest_quantile(df.limit(0), "x", 0.5).count() == 0
 
 
-SPLIT = [
-    ("u1", "i3", 300, 3, "self"), ("u1", "i1", 100, 1, "self"), ("u1", "i2", 200, 2, "gift_given"), ("u1", "i4", 400, 4, "self"),
-    ("u2", "i9", 900, 9, "gift_given"), ("u2", "i7", 700, 7, "self"), ("u2", "i8", 800, 8, "self"),
+STAYS = [
+    ("ines", "b", 7, 4, "self"), ("ines", "a", 3, 9, "gift_given"), ("ines", "c", 7, 5, "household"),
+    ("jo", "d", 2, 1, "self"), ("jo", "e", 1, 2, "self"), ("jo", "f", 4, 3, "self"), ("jo", "g", 3, 0, "gift_given"),
 ]
 
 
 def test_leave_one_out(spark):
-    df = seq.leave_one_out(spark.createDataFrame(SPLIT, "user_id string, item string, ts long, row_id long, label string"))
-    got = {(r["user_id"], r["ts"]): r["split"] for r in df.collect()}
-    assert got == {("u1", 100): "train", ("u1", 200): "train", ("u1", 300): "valid", ("u1", 400): "test", ("u2", 700): "train", ("u2", 800): "valid", ("u2", 900): "test"}
-    assert rows(seq.eligible_users(df)) == [("u1",)]
+    """In order of time and then row_id: a, b, c and e, d, g, f."""
+    df = seq.leave_one_out(spark.createDataFrame(STAYS, "user_id string, item string, ts long, row_id long, label string"))
+    assert {r["item"]: r["split"] for r in df.collect()} == {"a": "train", "b": "valid", "c": "test", "e": "train", "d": "train", "g": "valid", "f": "test"}
+    assert rows(seq.eligible_users(df)) == [("jo",)]
 
 
 def test_single_row_user_is_test_and_first(spark):
@@ -88,12 +96,15 @@ def test_single_row_user_is_test_and_first(spark):
 
 
 def test_expand(spark):
-    u1 = [("u1", x, i, i, "gift_given" if x == "c" else "self", s) for i, (x, s) in enumerate(zip("abcdef", ["train"] * 4 + ["valid", "test"], strict=True))]
-    u2 = [("u2", "g", 1, 11, "self", "valid"), ("u2", "h", 2, 12, "self", "test")]
-    u3 = [("u3", "x", 1, 21, "self", "train"), ("u3", "y", 2, 22, "self", "train"), ("u3", "z", 3, 23, "self", "valid"), ("u3", "w", 4, 24, "gift_given", "test")]
-    df = spark.createDataFrame(u1 + u2 + u3, "user_id string, item string, ts long, row_id long, label string, split string")
-    got = {(r["user_id"], r["split"], r["target"]): " ".join(r["history"]) for r in seq.expand(df, most=2).collect()}
-    assert got == {("u1", "train", "b"): "a", ("u1", "train", "c"): "a b", ("u1", "train", "d"): "b c", ("u1", "valid", "e"): "c d", ("u1", "test", "f"): "d e", ("u2", "test", "h"): "g", ("u3", "train", "y"): "x", ("u3", "valid", "z"): "x y"}
+    log = {"kai": "m:train n:train o:train p:valid q:test", "lou": "r:valid s:test", "mia": "t:train u:valid v:test:gift_given"}
+    made = []
+    for user, told in log.items():
+        for n, part in enumerate(told.split()):
+            item, split, label = [*part.split(":"), "self"][:3]
+            made.append((user, item, n, len(made), label, split))
+    df = spark.createDataFrame(made, "user_id string, item string, ts long, row_id long, label string, split string")
+    got = {(r["split"], r["target"]): "".join(r["history"]) for r in seq.expand(df, most=3).collect()}
+    assert got == {("train", "n"): "m", ("train", "o"): "mn", ("valid", "p"): "mno", ("test", "q"): "nop", ("test", "s"): "r", ("valid", "u"): "t"}
 
 
 def test_elapsed_days_are_not_calendar_days(spark):

@@ -15,19 +15,20 @@ def allocated(spark, cells, total):
 
 
 def test_allocation(spark):
-    assert allocated(spark, {"a": 500, "b": 300, "c": 200}, 100) == {"a": 50, "b": 30, "c": 20}
-    got = allocated(spark, {"tiny": 2, "big": 998}, 500)
-    assert got["tiny"] <= 2 and sum(got.values()) == 500
-    assert allocated(spark, {"a": 3, "b": 3}, 100) == {"a": 3, "b": 3}
-    assert sorted(allocated(spark, {f"c{i}": 1 for i in range(10)}, 5).values()) == [0] * 5 + [1] * 5
-    assert allocated(spark, {"a": 3}, 0) == {"a": 0} and allocated(spark, {}, 5) == {}
+    assert allocated(spark, {"p": 70, "q": 20, "r": 10}, 30) == {"p": 21, "q": 6, "r": 3}
+    assert allocated(spark, {"p": 5, "q": 4, "r": 4}, 7) == {"p": 3, "q": 2, "r": 2}
+    assert allocated(spark, {"p": 2, "q": 7}, 50) == {"p": 2, "q": 7}
+    assert allocated(spark, {"a": 1, "b": 1, "c": 1}, 2) == {"a": 1, "b": 1, "c": 0}
+    assert allocated(spark, {"p": 4}, 0) == {"p": 0} and allocated(spark, {}, 3) == {}
 
 
 def test_share_allocation():
-    got = sampling.share_allocation({"proxy": 0.5, "speculative": 0.25, "unflagged": 0.25}, 50)
-    assert got["proxy"] == 25 and sum(got.values()) == 50
-    assert sampling.share_allocation({"a": 0.5, "b": 0.5}, 100, {"a": 10}) == {"a": 10, "b": 90}
-    assert sampling.share_allocation({"a": 0.5, "b": 0.5}, 100, {"a": 3, "b": 4}) == {"a": 3, "b": 4}
+    """What a cap holds back goes round by largest fraction, then key."""
+    assert sampling.share_allocation({"a": 0.30, "b": 0.26, "c": 0.14, "d": 0.30}, 10, {"d": 2}) == {"a": 3, "b": 3, "c": 2, "d": 2}
+    assert sampling.share_allocation({"x": 0.7, "y": 0.2, "z": 0.1}, 25) == {"x": 18, "y": 5, "z": 2}
+    assert sampling.share_allocation({"x": 0.25, "y": 0.25}, 8) == {"x": 4, "y": 4}
+    assert sampling.share_allocation({"x": 0.9, "y": 0.1}, 20, {"x": 6, "y": 5}) == {"x": 6, "y": 5}
+    assert sampling.share_allocation({"x": 0.5, "y": 0.5}, 0) == {"x": 0, "y": 0}
 
 
 def test_frames_are_disjoint_and_repeatable(spark):
@@ -57,32 +58,28 @@ def test_length_buckets(spark):
     assert [r[0] for r in spark.createDataFrame([(n,) for n in (0, 2, 3, 501)], "n int").select(tx.right_closed(F.col("n"))).collect()] == ["1-2", "1-2", "3-5", ">500"]
 
 
-REL = ["daughter", "son", "nephew", "husband", "wife", "mom", "dad", "sister", "brother", "coworker", "friend", "grandson"]
-OCC = ["birthday", "christmas", "wedding"]
+KIN = ["aunt", "uncle", "niece", "twin"]
 FAMILIES = {
-    "evidence": lexicon.compile_family([r"bought (?:this |it )?for my {rel}", r"got this for my {rel}", r"gave it to my {rel}", r"bought as a gift", r"\bmy {rel} loves? (?:it|this)", r"\bmy {rel} loved it"], {"rel": REL, "occ": OCC}),
-    "speculative": lexicon.compile_family([r"would make a great gift", r"great gift idea"], {}),
-    "received": lexicon.compile_family([r"received this as a gift", r"was a gift from"], {}),
+    "evidence": lexicon.compile_family([r"wrapped (?:it|them) for my {kin}", r"my {kin} (?:unwrapped|adores) (?:it|them)"], {"kin": KIN}),
+    "speculative": lexicon.compile_family([r"might suit an? {kin}"], {"kin": KIN}),
+    "received": lexicon.compile_family([r"my {kin} sent (?:it|them) to me"], {"kin": KIN}),
 }
 
 
 def test_lexicon(spark):
-    texts = {
-        "I bought this for my daughter and she loves it": "evidence",
-        "Got this for my nephew for his BIRTHDAY": "evidence",
-        "Perfect stocking stuffer, bought as a gift": "evidence",
-        "Bought it and my daughter loved it immediately": "evidence",
-        "This would make a great gift for anyone": "speculative",
-        "I received this as a gift from a coworker": "received",
-        "My friend recommended this and I love it": None,
-    }
-    df = spark.createDataFrame([(i, t, "A title") for i, t in enumerate([*texts, "I received this as a gift and my husband loves it too"])], "row_id int, text string, title string")
-    got = sorted(lexicon.scan(df, FAMILIES, {"recipient": rf"\b({'|'.join(REL)})\b", "occasion": rf"\b({'|'.join(OCC)})\b"}, title="title", evidence="evidence", against="received").collect())
-    for r, want in zip(got, texts.values(), strict=False):
-        assert {k for k in FAMILIES if r[f"kw_{k}"]} == ({want} if want else set())
-    assert got[0]["kw_recipient"] == "daughter" and got[1]["kw_occasion"] == "birthday" and got[6]["kw_recipient"] == "friend" and got[4]["kw_recipient"] is None
-    last = got[-1]
-    assert last["kw_evidence"] and last["kw_received"] and not last["kw_proxy"]
+    texts = [
+        ("Wrapped it for my NIECE before Easter.", {"evidence"}, "niece"),
+        ("The twins laughed; my twin adores them.", {"evidence"}, "twin"),
+        ("A dull clock that might suit an uncle.", {"speculative"}, "uncle"),
+        ("My aunt sent it to me from Porto.", {"received"}, "aunt"),
+        ("Plain soap, smells of nothing.", set(), None),
+        ("My aunt sent it to me, so I wrapped it for my uncle.", {"evidence", "received"}, "aunt"),
+    ]
+    df = spark.createDataFrame([(i, t, "Some title") for i, (t, _, _) in enumerate(texts)], "row_id int, text string, title string")
+    got = sorted(lexicon.scan(df, FAMILIES, {"recipient": rf"\b({'|'.join(KIN)})\b"}, title="title", evidence="evidence", against="received").collect())
+    for r, (_, families, kin) in zip(got, texts, strict=True):
+        assert {k for k in FAMILIES if r[f"kw_{k}"]} == families and r["kw_recipient"] == kin
+    assert got[0]["kw_proxy"] and not got[-1]["kw_proxy"]
     assert "text" not in lexicon.scan(df, FAMILIES).columns
 
 
@@ -90,8 +87,9 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("Çok güzel,  bought it", "a  b", "x a b y")], "t string, s string, u string")
     r = df.select(tx.word_count(F.col("t")), tx.find(F.col("t"), "bought"), tx.byte_offset(F.col("t"), tx.find(F.col("t"), "bought")), tx.is_verbatim(F.col("s"), F.col("u")), tx.is_verbatim(F.lit(" "), F.col("u")), tx.non_ascii(F.col("t"))).first()
     assert tuple(r) == (4, 12, 16, True, False, True)
-    n = spark.createDataFrame([("Hediye Değil",), ("gift?",), (None,)], "n string").select(tx.note_code(F.col("n"), {"hediyedegil": "not_gift", "gift": "gift"}))
-    assert [x[0] for x in n.collect()] == ["not_gift", "gift", None]
+    notes = ["Boş  Kâğıt", "BOŞ-KAĞIT!", "boş kağıt değil", " ", None]
+    n = spark.createDataFrame([(x,) for x in notes], "n string").select(tx.note_code(F.col("n"), {"boskagit": "EMPTY"}))
+    assert [x[0] for x in n.collect()] == ["EMPTY", "EMPTY", "boş kağıt değil", None, None]
     t = spark.createDataFrame([("{x}", "")], "a string, b string").select(tx.template({"a": F.col("a"), "b": F.col("b")}, "A: {a}; B: {b}."))
     assert t.first()[0] == "A: {x}; B: (none)."
     p = spark.range(1).select(tx.common_prefix_length(F.lit("abc1"), F.lit("abd")), tx.common_prefix_length(F.lit(""), F.lit("x")))
@@ -186,3 +184,29 @@ def test_text_drift(spark):
     c = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, text string")
     s = spark.createDataFrame([(1, "a"), (2, None), (3, "x"), (4, "d")], "k int, text string")
     assert tuple(sampling.text_drift(s, c, ["k"]).first()) == (4, 1, 1)
+    with pytest.raises(ValueError, match="1 of 4"):
+        sampling.rebuilt(s, c, c.select("k"), "k")
+    same = c.filter("k < 3")
+    assert sampling.rebuilt(same, c, spark.createDataFrame([(1, "u")], "k int, url string"), "k").count() == 2
+    titled = sampling.with_texts(c.select("k"), c, spark.createDataFrame([(1, " t "), (2, "  ")], "k int, title string"), "k").collect()
+    assert {r["k"]: (r["title"], r["no_title"]) for r in titled} == {1: ("t", False), 2: ("", True), 3: ("", True)}
+
+
+def test_config_and_formatters(tmp_path):
+    import subprocess
+
+    from ravelin.config import Config, provenance, redacted
+
+    (tmp_path / "c.json").write_text('{"a": {"b": null, "c": 2}}')
+    c = Config.read(tmp_path / "c.json")
+    assert c.get("a.c") == 2 and c.get("a.b") is None and c.get("a.c.d", 5) == 5
+    with pytest.raises(KeyError):
+        c.get("a.x")
+    assert provenance(tmp_path) is None
+    for args in (["init", "-q"], ["add", "."], ["-c", "user.name=t", "-c", "user.email=t@t", "commit", "-qm", "x"]):
+        subprocess.run(["git", *args], cwd=tmp_path, check=True)
+    stamp = provenance(tmp_path, ("c.json",))
+    (tmp_path / "c.json").write_text("{}")
+    assert provenance(tmp_path, ("c.json",)) == f"{stamp}-dirty" and provenance(tmp_path, (":(none)x",)) == f"{stamp}-unknown"
+    assert redacted(tmp_path / "d" / "e", tmp_path) == "d/e" and redacted("/elsewhere/f", tmp_path) == "f"
+    assert (tx.percent(0.1234), tx.thousands(1234567), tx.times(1.5), tx.percent(None)) == ("12.3%", "1,234,567", "1.50×", "-")
