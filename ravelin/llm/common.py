@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session has none (tests on one machine), a temporary folder is
-    set and remembered for the session.
+    Where the session has none and runs on one machine (tests), a temporary
+    folder is set and remembered for the session; on a cluster that would lose
+    rows, so it raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.ravelin.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ravelin-")
         spark.conf.set("spark.ravelin.shared.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
