@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import checkpoint, cut, release, short_batches
+from ravelin.llm.common import checkpoint, cut, fresh, release, short_batches
 
 SEED = 42
 SHINGLE = 3
@@ -37,6 +37,8 @@ MAX_BITS = 3
 BLOCK_ROWS = 1500
 PIVOTS = 16
 _UNION_PAIRS = 500_000
+#: Rows of two numbers that are broadcast at most.
+MAX_SENT = 500_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -62,14 +64,15 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         fp = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b)).view(np.int64)
-        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp})
+        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp, "h": b["h"]})
         release()
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row of docs; fp as a signed long."""
+    """(doc_id, fp, h) of every row of docs; fp as a signed long, h a hash of the text."""
     short_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_fingerprints, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInPandas(_fingerprints, "doc_id long, fp long, h long")
 
 
 def table_masks(max_bits: int = MAX_BITS) -> list[int]:
@@ -199,41 +202,56 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels, edges["v"] == labels["node"]).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("over"))
-        new = checkpoint(step.join(up, "root").select("node", "was", F.least("root", "over").alias("root")))
+        # Only roots that point on matter, and the root of a giant component does not:
+        # they are few, and where they are not, no single key is hot.
+        used = labels.select(F.col("root").alias("node")).distinct()
+        up = checkpoint(labels.filter("node <> root").join(used, "node", "left_semi").select(F.col("node").alias("at"), F.col("root").alias("over")))
+        up = F.broadcast(up) if up.limit(MAX_SENT + 1).count() <= MAX_SENT else up
+        new = checkpoint(step.join(up, F.col("root") == F.col("at"), "left").select("node", "was", F.least("root", F.coalesce("over", "root")).alias("root")))
         moved = new.filter("root <> was").limit(1).count()
         labels = new.select("node", "root")
         if not moved:
             return labels
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs; component_id is the
-    least doc_id that links reach (null ids never are one unless alone). Runs jobs."""
+def grouped(docs: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, h) of every row of docs, and (fp, root, first) of every
+    fingerprint: root is equal within a component, first the least doc_id that has
+    it. Runs jobs."""
     prints = cut(with_fingerprints(docs))
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(first.select("fp"), max_bits, block_rows))
-    joined = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = joined.filter("root <> fp").join(least, "root").select("fp", "component_id").union(
-        joined.filter("root = fp").select("fp", "root").join(least, "root").select("fp", "component_id")
-    )
-    return prints.join(cut(by_fp), "fp").select("doc_id", "fp", "component_id")
+    return prints, cut(first.join(roots, first["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"))
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs; component_id is the
+    least doc_id that links reach (null if all of them are). Runs jobs."""
+    prints, by_fp = grouped(docs, max_bits, block_rows)
+    least = by_fp.groupBy("root").agg(F.min("first").alias("component_id"))
+    alone = by_fp.filter("root = fp")
+    known = by_fp.filter("root <> fp").join(least, "root").select("fp", "component_id").union(alone.select("fp", "root").join(least, "root").select("fp", "component_id"))
+    return prints.select("doc_id", "fp").join(cut(known), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with one row of each group left: that of the least doc_id. Of rows
-    that share this id one stays; rows without an id stay. Runs jobs."""
-    found = near_duplicates(docs, max_bits)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    cols = docs.columns
-    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["__kept"], "left_semi")
-    kept = kept.dropDuplicates(["doc_id"]) if _repeats(found) else kept
-    return kept.unionByName(docs.filter(docs["doc_id"].isNull())).select(*[F.col(f"`{c}`") for c in cols])
-
-
-def _repeats(found: DataFrame) -> bool:
-    return found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    """docs with one row of each group of linked texts left: that of the least
+    doc_id (null ids last) and, of those that share it, of the least hash of the
+    text; of equal rows one stays. Rows with equal ids or none go only if their texts
+    are linked. No text is shuffled but those of winners that repeat. Runs jobs."""
+    prints, by_fp = grouped(docs, max_bits)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
+    best = prints.join(by_fp.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("best"))
+    did, th, more = fresh(docs, "did", "th", "more")
+    win = best.select(F.col("best.id").alias(did), F.col("best.h").alias(th)).distinct()
+    rows = prints.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("hash")).agg(F.count(F.lit(1)).alias("n"))
+    win = cut(win.join(rows, F.col(did).eqNullSafe(F.col("id")) & (F.col(th) == F.col("hash"))).select(did, th, (F.col("n") > 1).alias(more)))
+    text = docs["text"].cast("string")
+    kept = docs.withColumns({f"{did}_": docs["doc_id"].cast("long"), f"{th}_": F.xxhash64(text)})
+    kept = kept.join(win, kept[f"{did}_"].eqNullSafe(win[did]) & (kept[f"{th}_"] == win[th]))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    once = kept.filter(F.col(more)).dropDuplicates([did, th]).select(*cols)
+    return kept.filter(~F.col(more)).select(*cols).unionAll(once)
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:

@@ -91,3 +91,12 @@ def test_deduplicate_and_defined_cases(spark):
     assert rows(sh.deduplicate(twice), "doc_id") == [(0,), (2,), (3,)]
     assert sh.simhash_query(df.limit(0)).count() == 0
     assert rows(sh.simhash_query(df), "doc_id", "component_id") == [(0, 0), (1, 0), (2, 2), (3, 3), (4, 3)]
+
+
+def test_deduplicate_keeps_unlinked_rows_of_one_id(spark):
+    """Rows that share an id or have none go only if their texts are linked."""
+    rows_ = [(1, "a b c d"), (1, "e f g h"), (1, "a b c d"), (None, "i j k l"), (None, "i j k l"), (None, "e f g h"), (7, "i j k l"), (None, None), (None, "m n o p")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS __did", "2 AS __th", "3 AS fp")
+    kept = sh.deduplicate(df)
+    assert kept.columns == df.columns
+    assert rows(kept, "doc_id", "text") == sorted([(1, "a b c d"), (1, "e f g h"), (7, "i j k l"), (None, None), (None, "m n o p")], key=repr)
