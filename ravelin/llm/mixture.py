@@ -28,6 +28,8 @@ MAX_EPOCHS = 2.0
 SEED = 42
 #: Hex digits of the hash that make a slice: 16 ** 3 slices of a source.
 SLICE_DIGITS = 3
+#: Sources (a row each) that are broadcast at most.
+MAX_SENT = 100_000
 
 
 def words(text: Column) -> Column:
@@ -62,7 +64,7 @@ def mix(docs: DataFrame, size_col: str | None = None, weights: tuple = WEIGHTS,
     target and copies (whole repetitions that the mix takes of this row)."""
     size, ssize, target, copies = mix_columns(docs)
     key, part, off, run, src = fresh(docs, "key", "part", "off", "run", "src")
-    rows = docs.withColumn(size, words(F.col("text")) if size_col is None else F.col(size_col)).withColumn(key, F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+    rows = docs.withColumn(size, words(F.col("text")) if size_col is None else F.col(size_col)).withColumn(key, _order_key(seed))
     rows = rows.withColumn(part, F.substring(key, 1, SLICE_DIGITS))
     thin = rows.select(F.col("source"), F.col(size).alias("size"), F.col(part).alias("part"))
     slices = thin.groupBy("source", "part").agg(F.sum("size").alias("size"))
@@ -90,12 +92,37 @@ def mix_columns(docs: DataFrame) -> list[str]:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken."""
-    copies = mix_columns(docs)[3]
-    rows = mix(docs, **how).filter(F.col(copies) > 0)
+    """The mix itself: each row of docs as often as it is taken. Runs jobs.
+
+    The extra documents of a source are the first in the seeded order, so thin rows
+    (no texts) tell the last one's place, and the texts are filtered by it where
+    they are read. Only where rows with one and the same place are taken in part
+    (repeated ids of equal size) the rows themselves are ordered."""
+    size, ssize, target, copies = mix_columns(docs)
+    seed = how.get("seed", SEED)
+    thin = cut(docs.select("doc_id", "source", words(F.col("text")).alias("n_words")))
+    names = mix_columns(thin)
+    each = mix(thin, size_col="n_words", **how).withColumn("key", _order_key(seed)).withColumn("whole", F.floor(F.col(names[2]) / F.nullif(F.col(names[1]), F.lit(0))))
+    each = each.withColumn("extra", F.col(names[3]) > F.coalesce("whole", F.lit(0)))
+    cuts = each.groupBy("source").agg(F.max("whole").alias("whole"), F.max(F.when(F.col("extra"), F.struct("key", "n_words"))).alias("last"))
+    cuts = cut(cuts.select("source", F.coalesce("whole", F.lit(0)).alias("whole"), F.col("last.key").alias("last_key"), F.col("last.n_words").alias("last_size")))
+    split = each.filter("NOT extra").join(F.broadcast(cuts), each["source"].eqNullSafe(cuts["source"]) & (F.col("key") == F.col("last_key")) & (F.col("n_words") == F.col("last_size")), "left_semi")
+    if cuts.count() > MAX_SENT or split.limit(1).count():
+        rows = mix(docs, **how).filter(F.col(copies) > 0)
+    else:
+        src, whole, key, last = fresh(docs, "src", "whole", "last_key", "last_size")
+        cuts = cuts.select(F.col("source").alias(src), F.col("whole").alias(whole), F.col("last_key").alias(key), F.col("last_size").alias(last))
+        rows = docs.join(F.broadcast(cuts), docs["source"].eqNullSafe(cuts[src]))
+        mine = _order_key(seed)
+        extra = (mine < F.col(key)) | ((mine == F.col(key)) & F.when(mine == F.col(key), words(F.col("text")) <= F.col(last)))
+        rows = rows.withColumn(copies, F.col(whole) + F.coalesce(extra, F.lit(False)).cast("int")).filter(F.col(copies) > 0)
     return rows.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _order_key(seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+
+
 def mixture_query(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row. Runs a job: sizes
     are counted once and written to the shared folder."""

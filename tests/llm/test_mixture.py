@@ -61,6 +61,14 @@ def test_mixed_repeats_rows(spark):
     assert {d: n for d, n in copies.items() if n} == {d: n for d, n in count.items() if len((texts[d] or "").split())}
 
 
+def test_mixed_with_repeated_ids(spark):
+    """Rows that tie at the cut are taken in part all the same."""
+    df = spark.createDataFrame([(None, "x y z", "a")] * 9 + [(i, "p q", "b") for i in range(40)] + [(90 + i, "k", None) for i in range(30)], "doc_id long, text string, source string")
+    taken = {r["source"]: r["n"] for r in mx.mixed(df).selectExpr("source", "size(split(text, ' ')) AS w").groupBy("source").agg({"w": "sum"}).withColumnRenamed("sum(w)", "n").collect()}
+    want = {r["source"]: r["target"] for r in mx.targets(df.selectExpr("source", "size(split(text, ' ')) AS size")).collect()}
+    assert all(abs(taken[s] - want[s]) <= 2 for s in want)
+
+
 def test_empty_and_no_words(spark):
     assert mx.mixture_query(documents(spark, ["a"]).limit(0)).count() == 0
     assert rows(mx.mixture_query(documents(spark, [None, ""])), "size", "target", "taken") == [(0, 0.0, 0), (0, 0.0, 0)]
