@@ -87,18 +87,20 @@ def as_text(keys: Column) -> Column:
     return F.array_join(F.transform(keys, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def _cuts_below(cuts: list[int], value: Column) -> Column:
-    """How many of the ascending cuts lie below the value; looks through about two
-    square roots of their number."""
+def _with_bucket(rows: DataFrame, cuts: list[int], value: str, out: str) -> DataFrame:
+    """rows with how many of the ascending cuts lie below the value; looks through
+    about two square roots of their number. The cuts come as one broadcast row, so the
+    plan is as long for ten buckets as for ten thousand."""
     m = max(1, int(len(cuts) ** 0.5))
+    fine = [cuts[i : i + m] for i in range(0, len(cuts) + 1, m)]
+    one = rows.sparkSession.createDataFrame([(cuts[m - 1 :: m], fine)], "cut_coarse array<bigint>, cut_fine array<array<bigint>>")
+    wide = rows.crossJoin(F.broadcast(one))  # a single row
 
     def below(some: Column) -> Column:
-        return F.size(F.filter(some, lambda c: c < value))
+        return F.size(F.filter(some, lambda c: c < F.col(value)))
 
-    coarse = F.array(*[F.lit(c) for c in cuts[m - 1 :: m]]).cast("array<bigint>")
-    fine = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + m]]).cast("array<bigint>") for i in range(0, len(cuts) + 1, m)])
-    at = below(coarse)
-    return at * m + F.coalesce(below(F.get(fine, at)), F.lit(0))
+    wide = wide.withColumn("cut_at", below(F.col("cut_coarse")))
+    return wide.withColumn(out, F.col("cut_at") * m + F.coalesce(below(F.get("cut_fine", F.col("cut_at"))), F.lit(0))).drop("cut_coarse", "cut_fine", "cut_at")
 
 
 def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
@@ -110,11 +112,10 @@ def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
     at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     ids = rows.select(at.alias("at"))
     cuts = sorted(set(ids.agg(F.percentile_approx("at", [i / buckets for i in range(1, buckets)], 10 * max(1000, buckets)).alias("q")).first()["q"] or []))
-    bucket = _cuts_below(cuts, F.col("at"))
-    first = sorted((r["b"], r["at"]) for r in ids.groupBy(bucket.alias("b")).agg(F.min("at").alias("at")).collect())
+    first = sorted((r["b"], r["at"]) for r in _with_bucket(ids, cuts, "at", "b").groupBy("b").agg(F.min("at").alias("at")).collect())
     before = [(i, first[n - 1][0], int(n == 0)) for n, (_, i) in enumerate(first)]  # the very first follows the last
     also = spark.createDataFrame(before or [(0, 0, 0)], "first long, other int, wraps int").limit(len(before))
-    dealt = rows.withColumn("at", at).withColumn("b", bucket).join(F.broadcast(also), F.col("at") == F.col("first"), "left")
+    dealt = _with_bucket(rows.withColumn("at", at), cuts, "at", "b").join(F.broadcast(also), F.col("at") == F.col("first"), "left")
     own = F.struct(F.col("b").alias("b"), F.lit(0).alias("copy"))
     copies = F.when(F.col("other").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("other").alias("b"), (F.lit(1) + F.col("wraps")).alias("copy"))))
     dealt = dealt.withColumn("to", F.explode(copies)).drop("b", "first", "wraps", "other")
