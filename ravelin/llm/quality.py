@@ -1,21 +1,27 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-Terms of a text are the three-grams of its letter shapes (16 classes of
-characters, runs of letters drawn together) and bins of a few ratios: distinct
-words, distinct lines, word length, capitals, size. Weighted by tf-idf and unit
+Terms of a text are its words and pairs of adjacent words (hashed), the three-grams
+of its letter shapes (16 classes of characters, runs of letters drawn together) and
+bins of a few ratios: distinct words, distinct lines, word length, capitals, size.
+Weighted by tf-idf and unit
 length, the labelled texts span a latent space by a truncated SVD. Labelled
 vectors are broadcast: at most `MAX_LABELLED` rows of `RANK` numbers, whatever
 the corpus holds. Every document is projected and compared with all of them in
 exact blocked cosine products; the `NEIGHBOURS` nearest vote by similarity.
 
-Defined cases: null text is the empty text and gets a score like any other;
-rows of labels that repeat a doc_id vote with the mean of their labels; labels
-without quality or document don't count; without any usable label every score
-is the prior 0.5; an empty table gives an empty result.
+Defined cases: null text is the empty text and gets a score like any other; very
+long texts are read whole (their different terms are bounded); of neighbours
+that tie at the last place all vote; rows of labels that repeat a doc_id vote
+with the mean of their labels, of documents that share one the text of the least
+hash is learnt from; labels without quality or document don't count; without any
+usable label every score is the prior 0.5; other columns, whatever their names,
+are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,7 +56,10 @@ SHAPES = 16**3
 #: Bins of each ratio.
 BINS = 12
 RATIOS = 6
-TERMS = SHAPES + BINS * RATIOS
+#: Buckets of hashed words and word pairs, and what their counts weigh beside shapes.
+WORDS = 1 << 13
+WORD_WEIGHT = 0.5
+TERMS = SHAPES + BINS * RATIOS + WORDS
 
 
 def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +89,20 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         min(1.0, (n - letters - int((raw <= 1).sum())) / nw / 2),
     )
     bins = [SHAPES + BINS * i + min(BINS - 1, int(r * BINS)) for i, r in enumerate(ratios)]
-    return np.concatenate((at, bins)).astype(np.int32), np.concatenate((np.log1p(counts[at]), np.full(len(bins), 3.0))).astype(np.float32)
+    held, many = _hashed(words)
+    return np.concatenate((at, bins, SHAPES + BINS * RATIOS + held)).astype(np.int32), np.concatenate((np.log1p(counts[at]), np.full(len(bins), 3.0), WORD_WEIGHT * np.log1p(many))).astype(np.float32)
+
+
+def _hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and pairs of adjacent words, and how many fall in each."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    crc = {w: zlib.crc32(w.encode("utf-8", "replace")) for w in set(words)}
+    h = np.fromiter(map(crc.__getitem__, words), np.int64, len(words))
+    both = np.concatenate((h, (h[:-1] * 31 + h[1:]) ^ (h[1:] >> 7)))
+    counts = np.bincount((both ^ both >> 16) % WORDS, minlength=WORDS)
+    at = np.flatnonzero(counts)
+    return at, counts[at]
 
 
 def _terms(text: pd.Series) -> pd.DataFrame:
@@ -100,20 +122,27 @@ class Voter:
         for at, _ in rows:
             df[at] += 1
         self.idf = np.where(df > 0, np.log((1 + len(rows)) / (1 + df)) + 1, 0).astype(np.float32)
-        x = self.dense(rows)
-        rank = min(rank, *x.shape)
-        q = np.random.default_rng(42).standard_normal((x.shape[1], rank + 8)).astype(np.float32)
+        flat, start, val = self._sparse(rows)
+        rank = min(rank, len(rows), TERMS)
+        q = np.random.default_rng(42).standard_normal((TERMS, rank + 8)).astype(np.float32)
+        row = np.repeat(np.arange(len(rows)), np.diff(start))
         for _ in range(4):  # subspace iteration for the leading right singular vectors
-            q, _ = np.linalg.qr(x.T @ (x @ q))
-        _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
+            y = self._times(flat, start, val, q)
+            q, _ = np.linalg.qr(np.stack([np.bincount(flat, val * y[row, j], TERMS) for j in range(y.shape[1])], 1).astype(np.float32))
+        _, _, vt = np.linalg.svd(self._times(flat, start, val, q), full_matrices=False)
         self.basis = np.ascontiguousarray((q @ vt[:rank].T).astype(np.float32))
-        self.vectors = self._unit(x @ self.basis)
+        self.vectors = self._unit(self._times(flat, start, val, self.basis))
 
-    def dense(self, rows) -> np.ndarray:
-        x = np.zeros((len(rows), TERMS), np.float32)
-        for i, (at, w) in enumerate(rows):
-            x[i, at] = w
-        return self._unit(x * self.idf)
+    def _sparse(self, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Term numbers of all rows on end, where each row starts, unit tf-idf weights."""
+        out = [w * self.idf[at] for at, w in rows]
+        out = [w / max(float(np.sqrt(w @ w)), 1e-12) for w in out]
+        return np.concatenate([at for at, _ in rows]), np.concatenate(([0], np.cumsum([len(w) for w in out]))), np.concatenate(out)
+
+    @staticmethod
+    def _times(flat, start, val, q: np.ndarray) -> np.ndarray:
+        """The sparse rows times q; every row has a term."""
+        return np.stack([val[a:b] @ q[flat[a:b]] for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]).astype(np.float32)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -124,23 +153,25 @@ class Voter:
         if not self.k:
             return out
         for i in range(0, len(texts), _BLOCK):
-            q = self._unit(self.dense([terms(t) for t in texts[i : i + _BLOCK]]) @ self.basis)
-            sim = q @ self.vectors.T
-            top = np.argpartition(sim, -self.k, axis=1)[:, -self.k :]
-            w = np.maximum(np.take_along_axis(sim, top, 1), 1e-6) ** self.power
-            out[i : i + _BLOCK] = (w * self.labels[top]).sum(1) / w.sum(1)
+            q = self._unit(self._times(*self._sparse([terms(t) for t in texts[i : i + _BLOCK]]), self.basis))
+            sim = np.round(q @ self.vectors.T, 6)
+            last = np.partition(sim, -self.k, axis=1)[:, -self.k]
+            r, c = np.nonzero(sim >= last[:, None])
+            w = np.maximum(sim[r, c], 1e-6).astype(float) ** self.power
+            out[i : i + _BLOCK] = np.bincount(r, w * self.labels[c], len(q)) / np.bincount(r, w, len(q))
         return np.clip(out, 0, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Voter:
     """The voter learnt from at most max_labelled rows of labels that are not
     held out. Runs a job; terms are counted on the executors."""
-    used = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.avg("quality").alias("__label"))
-    used = used.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)  # bounded: safe to broadcast
+    used = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.avg("quality").alias("label"))
+    used = used.orderBy(F.xxhash64("id"), "id").limit(max_labelled)  # bounded: safe to broadcast
     counted = F.pandas_udf(_terms, "struct<at:array<int>,weight:array<float>>")
-    one = docs.join(F.broadcast(used), docs["doc_id"] == F.col("__id")).select("__id", "__label", counted(F.col("text").cast("string")).alias("t"))
-    rows = one.dropDuplicates(["__id"]).orderBy("__id").limit(max_labelled).collect()
-    return Voter([(np.array(r["t"]["at"], np.int32), np.array(r["t"]["weight"], np.float32)) for r in rows], np.array([r["__label"] for r in rows]))
+    text = docs.select(F.col("doc_id").alias("did"), F.col("text").cast("string").alias("text"))
+    one = text.join(F.broadcast(used), F.col("did") == F.col("id")).select("id", "label", F.xxhash64("text").alias("h"), counted("text").alias("t"))
+    rows = one.groupBy("id", "label").agg(F.min_by("t", "h").alias("t")).orderBy("id").limit(max_labelled).collect()
+    return Voter([(np.array(r["t"]["at"], np.int32), np.array(r["t"]["weight"], np.float32)) for r in rows], np.array([r["label"] for r in rows]))
 
 
 def score_column(model: Voter, text: Column, spark) -> Column:
