@@ -12,8 +12,13 @@ word costs as many lookups as it has subsequences; it is the same number that
 `ssk` gives landmark by landmark (tested). A document's margin is its most toxic
 word's; a logistic curve fitted to training documents makes it a score.
 
+Words are what Unicode white space divides, in the fit as in scoring.
+
 Defined cases: null and empty texts have no words and score by the floor margin;
-words above `SPAN` letters are read in overlapping windows; single letters apart
+very long texts are scored whole and of those that are learnt from a window of
+`MAX_FIT_CHARS` at a seeded place is; of equal margins no choice depends on order;
+of documents that share a labelled id the text of the least hash is learnt from;
+other columns, whatever their names, are not read; words above `SPAN` letters are read in overlapping windows; single letters apart
 by spaces are also read joined; labels that repeat a doc_id count as toxic if
 one of them is; without labels of both kinds every score is 0; an empty table
 gives an empty result.
@@ -38,8 +43,7 @@ from ravelin.llm.common import held_out
 DECAY = 0.6
 LANDMARKS = 128
 #: Bound of the labelled sample: so many documents of each label, in the order of
-#: a hash of doc_id, of at most MAX_FIT_CHARS characters (longer ones are scored
-#: whole but not learnt from).
+#: a hash of doc_id, and of longer ones MAX_FIT_CHARS characters at a seeded place.
 MAX_EACH = 1200
 MAX_FIT_CHARS = 20_000
 SPAN, STRIDE = 16, 8
@@ -320,14 +324,16 @@ def bag_of_words(text: str | None) -> set[str]:
 def fit(docs: DataFrame, labels: DataFrame, max_each: int = MAX_EACH) -> Machine:
     """The machine learnt from at most 2 * max_each labelled documents that are
     not held out. Runs jobs; the driver gets that sample's different words."""
-    used = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("__label"))
-    order = [F.xxhash64("__id"), F.col("__id")]
-    used = used.filter("__label = 1").orderBy(*order).limit(max_each).union(used.filter("__label = 0").orderBy(*order).limit(max_each))
-    text = F.col("text").cast("string")
-    rows = docs.join(F.broadcast(used), docs["doc_id"] == F.col("__id")).filter(F.char_length(text) <= MAX_FIT_CHARS)
-    rows = rows.select("__id", "__label", F.array_distinct(F.split(F.lower(text), r"\s+")).alias("words"))
-    found = rows.dropDuplicates(["__id"]).orderBy("__id").limit(2 * max_each).collect()
-    return Machine([list(r["words"]) for r in found], np.array([r["__label"] for r in found], int))
+    used = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("label"))
+    order = [F.xxhash64("id"), F.col("id")]
+    used = used.filter("label = 1").orderBy(*order).limit(max_each).union(used.filter("label = 0").orderBy(*order).limit(max_each))
+    text = docs.select(F.col("doc_id").alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = text.join(F.broadcast(used), F.col("did") == F.col("id"))
+    free = F.greatest(F.char_length("text") - MAX_FIT_CHARS, F.lit(0)) + 1
+    rows = rows.select("id", "label", F.xxhash64("text").alias("h"), F.substring(F.col("text"), (F.pmod(F.xxhash64("id", F.lit(5)), free) + 1).cast("int"), F.lit(MAX_FIT_CHARS)).alias("text"))
+    bags = F.pandas_udf(lambda t: t.map(lambda x: sorted(bag_of_words(x))), "array<string>")
+    found = rows.groupBy("id", "label").agg(F.min_by("text", "h").alias("text")).orderBy("id").limit(2 * max_each).select("label", bags("text").alias("words")).collect()
+    return Machine([list(r["words"]) for r in found], np.array([r["label"] for r in found], int))
 
 
 _KEPT: dict[str, dict[str, float]] = {}
