@@ -106,8 +106,8 @@ def _hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _terms(text: pd.Series) -> pd.DataFrame:
-    found = [terms(t) for t in text]
-    return pd.DataFrame({"at": [a for a, _ in found], "weight": [w for _, w in found]})
+    found = [terms(t) for t in text]  # as bytes: lists of numbers fill the driver's memory
+    return pd.DataFrame({"at": [a.tobytes() for a, _ in found], "weight": [w.tobytes() for _, w in found]})
 
 
 class Voter:
@@ -125,10 +125,10 @@ class Voter:
         flat, start, val = self._sparse(rows)
         rank = min(rank, len(rows), TERMS)
         q = np.random.default_rng(42).standard_normal((TERMS, rank + 8)).astype(np.float32)
-        row = np.repeat(np.arange(len(rows)), np.diff(start))
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(start))
         for _ in range(4):  # subspace iteration for the leading right singular vectors
             y = self._times(flat, start, val, q)
-            q, _ = np.linalg.qr(np.stack([np.bincount(flat, val * y[row, j], TERMS) for j in range(y.shape[1])], 1).astype(np.float32))
+            q, _ = np.linalg.qr(np.stack([np.bincount(flat, val * y[row, j], TERMS).astype(np.float32) for j in range(y.shape[1])], 1))
         _, _, vt = np.linalg.svd(self._times(flat, start, val, q), full_matrices=False)
         self.basis = np.ascontiguousarray((q @ vt[:rank].T).astype(np.float32))
         self.vectors = self._unit(self._times(flat, start, val, self.basis))
@@ -167,11 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     held out. Runs a job; terms are counted on the executors."""
     used = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.avg("quality").alias("label"))
     used = used.orderBy(F.xxhash64("id"), "id").limit(max_labelled)  # bounded: safe to broadcast
-    counted = F.pandas_udf(_terms, "struct<at:array<int>,weight:array<float>>")
+    counted = F.pandas_udf(_terms, "struct<at:binary,weight:binary>")
     text = docs.select(F.col("doc_id").alias("did"), F.col("text").cast("string").alias("text"))
     one = text.join(F.broadcast(used), F.col("did") == F.col("id")).select("id", "label", F.xxhash64("text").alias("h"), counted("text").alias("t"))
     rows = one.groupBy("id", "label").agg(F.min_by("t", "h").alias("t")).orderBy("id").limit(max_labelled).collect()
-    return Voter([(np.array(r["t"]["at"], np.int32), np.array(r["t"]["weight"], np.float32)) for r in rows], np.array([r["label"] for r in rows]))
+    return Voter([(np.frombuffer(r["t"]["at"], np.int32), np.frombuffer(r["t"]["weight"], np.float32)) for r in rows], np.array([r["label"] for r in rows]))
 
 
 def score_column(model: Voter, text: Column, spark) -> Column:
