@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the next one
 gets as its docs after it has been written. All but the last return the columns
 of documents; what a stage decides takes effect in the rows that it returns.
+
+Defined cases, of every stage: null and empty texts are rows like others (they
+score by the voter, link with each other, leak nothing, and count no words);
+repeated rows and rows without an id are kept unless their texts are linked; extra
+columns stay as they are, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -47,8 +52,9 @@ STAGES = [
     ("tokens", write_tokens),
 ]
 
-#: Latent vectors, fingerprints by xxhash64 and token ids are beyond SQL; tested
-#: against its stages' brute-force versions instead.
+#: Latent vectors, fingerprints by xxhash64 and token ids are beyond SQL. The stages'
+#: operators are tested against brute force one by one (tests/llm), the run as a
+#: whole only by what it must keep and drop.
 ORACLE_SQL = None
 
 
