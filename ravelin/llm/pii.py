@@ -4,8 +4,8 @@ The tagger is a bidirectional LSTM over characters with a CRF above it, trained
 here in numpy on labelled spans: those that the patterns find in a bounded
 sample of text, as they stand and rewritten the ways people hide them (spaced,
 bracketed, dotted). It reads every region of every text around a digit, an at
-sign or a written-out "at" (no kind of span can lie elsewhere) in overlapping
-windows; their emissions are averaged with weights that fall towards a window's
+sign or a bracketed or dotted "at" in overlapping windows (an address written out
+without these, as in "jane at example.com", is not read); their emissions are averaged with weights that fall towards a window's
 edges, and one Viterbi pass over the whole region settles all windows at once.
 A decoded span is kept where no pattern span lies and its kind's digits allow it.
 
