@@ -13,7 +13,8 @@ The texts are split once, into a table of the different lines: two hashes, the
 first place, the keys. One shuffle of the keys tells, by a window over each key,
 which lines share one with another line; a line leaves it once, however many
 partners it has. Only those lines are fetched and joined by their keys. Pairs
-whose letters differ too far in parity are dropped inside that join, those whose
+whose sketches (parities of hashed pairs of neighbouring characters, of which an
+edit turns four at most) differ too far are dropped inside that join, those whose
 letter counts do after it, and what is left is verified by a banded bit-parallel
 edit distance: for each number of edits a bit-vector over the 2t + 1 diagonals of
 the band, all of whose cells one column of the comparison moves on by shifts and
@@ -42,9 +43,12 @@ EDITS = 2
 PER_EDIT = 5
 #: Hashes of lines (8 bytes each) that are broadcast at most.
 MAX_SENT = 500_000
-#: Characters whose parities rule candidates out: an edit changes two at most; any
-#: ASCII characters do no harm.
+#: Characters whose counts rule pairs out: an edit takes one away at most and adds
+#: one; any ASCII characters do no harm.
 LETTERS = "etanoisrhldcum0123456789"
+#: Bits of a line's sketch that an edit turns at most: a replaced character takes two
+#: pairs of neighbours away and brings two, an added or a lost one three in all.
+PER_SKETCH = 4
 
 
 def allowed(n: int, edits: int = EDITS) -> int:
@@ -90,13 +94,23 @@ def with_keys(rows: DataFrame, edits: int = EDITS) -> DataFrame:
     return rows.select(*cols, F.expr(f"array({', '.join(out)})").alias("keys"))
 
 
-def _parities(line: Column) -> Column:
-    """Whether each of LETTERS stands in a line an odd number of times, as bits."""
-    bits = F.lit(0).cast("long")
-    for i, ch in enumerate(LETTERS):
-        c = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(ch), F.lit("")))
-        bits = bits.bitwiseOR(F.shiftleft(c.bitwiseAND(F.lit(1)).cast("long"), i))
-    return bits
+def with_sketch(rows: DataFrame) -> DataFrame:
+    """rows (line and others) with `odd0` and `odd1`: 128 bits, each saying whether an
+    odd number of the line's pairs of neighbouring characters hash to it; the last
+    character is paired with nothing."""
+    chars, grams = fresh(rows, "chars", "grams")
+    one = F.lit(1).cast("long")
+
+    def half(upper: int) -> Column:
+        def turn(bits: Column, h: Column) -> Column:
+            here = F.shiftright(h, 6).bitwiseAND(F.lit(1)) == upper
+            return bits.bitwiseXOR(F.when(here, F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long")))
+
+        return F.aggregate(F.col(grams), F.lit(0).cast("long"), turn)
+
+    rows = rows.withColumn(chars, F.split("line", ""))
+    rows = rows.withColumn(grams, F.zip_with(F.col(chars), F.slice(F.col(chars), F.lit(2), F.size(chars)), lambda x, y: F.xxhash64(x, F.coalesce(y, F.lit("")))))
+    return rows.withColumns({"odd0": half(0), "odd1": half(1)}).drop(chars, grams)
 
 
 def _letters_apart(a: str, b: str) -> Column:
@@ -172,14 +186,15 @@ def partnered(found: DataFrame) -> DataFrame:
 
 def candidates(some: DataFrame, edits: int = EDITS) -> DataFrame:
     """Pairs (a, b) of the k1 of different lines (k1, line) that share a key and
-    whose letter counts do not rule them out."""
-    own = with_keys(some.select("k1", "line", _parities(F.col("line")).alias("odd")), edits).select("k1", "odd", F.explode("keys").alias("v"))
-    own = own.filter("v IS NOT NULL").select("k1", "odd", F.shiftright("v", 1).alias("key"), (F.col("v").bitwiseAND(F.lit(1)) == 1).alias("indexed"))
+    whose sketches do not rule them out."""
+    own = with_keys(with_sketch(some.select("k1", "line")), edits).select("k1", "odd0", "odd1", F.explode("keys").alias("v"))
+    own = own.filter("v IS NOT NULL").select("k1", "odd0", "odd1", F.shiftright("v", 1).alias("key"), (F.col("v").bitwiseAND(F.lit(1)) == 1).alias("indexed"))
     own = cut(own)  # adaptive execution plans the join anew after each stage: without the long expressions
-    index = own.filter("indexed").select("key", F.col("k1").alias("b"), F.col("odd").alias("ob"))
-    probe = own.select(F.col("key").alias("pkey"), F.col("k1").alias("a"), F.col("odd").alias("oa"), F.col("indexed").alias("both"))
+    index = own.filter("indexed").select("key", F.col("k1").alias("b"), F.col("odd0").alias("b0"), F.col("odd1").alias("b1"))
+    probe = own.select(F.col("key").alias("pkey"), F.col("k1").alias("a"), F.col("odd0").alias("a0"), F.col("odd1").alias("a1"), F.col("indexed").alias("both"))
     once = ~F.col("both") | (F.col("a") < F.col("b"))  # two index keys meet from either side
-    near = (F.col("pkey") == F.col("key")) & (F.col("a") != F.col("b")) & once & (F.bit_count(F.col("oa").bitwiseXOR(F.col("ob"))) <= 2 * edits)
+    turned = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    near = (F.col("pkey") == F.col("key")) & (F.col("a") != F.col("b")) & once & (turned <= PER_SKETCH * edits)
     return cut(probe.join(index, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 

@@ -120,3 +120,17 @@ def test_query_drops_equal_short_lines(spark):
     got = sorted(tuple(r) for r in ld.line_dedup_query(documents(spark, texts, extra=True)).collect())
     assert got == [(0, 4, 1, 0, 0, [3]), (1, 0, 0, 0, 0, []), (2, 4, 1, 0, 0, [0]), (3, 3, 2, 0, 0, [0, 1]), (4, 1, 0, 0, 0, [])]
     assert [r["text"] for r in ld.deduplicate(documents(spark, texts)).orderBy("doc_id").collect()] == ["Les.\n\nAnd ornd.", None, "Les!\n\n" + BASE[0], "x", ""]
+
+
+def test_an_edit_turns_four_bits_of_a_sketch_at_most(spark):
+    r = random.Random(4)
+    pairs = []
+    for n in [1, 2, 3, 4, 9, 40, 200] * 30:
+        line = "".join(r.choice("abü ") for _ in range(n))
+        at, how = r.randrange(n), r.randint(0, 2)
+        pairs.append((line, [line[:at] + "x" + line[at + 1 :], line[:at] + line[at + 1 :], line[:at] + "bü"[at % 2] + line[at:]][how]))
+    one, two = ([(x.odd0, x.odd1) for x in ld.with_sketch(spark.createDataFrame([(i, p[side]) for i, p in enumerate(pairs)], "i int, line string")).orderBy("i").collect()] for side in (0, 1))
+    turned = [sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) % 2**64).bit_count() for x, y in zip(p, q)) for p, q, w in zip(one, two, pairs) if w[1]]
+    assert max(turned) == ld.PER_SKETCH
+    other = ld.with_sketch(spark.createDataFrame([("the quick brown fox",), ("a slow yellow dog at",)], "line string")).collect()
+    assert (other[0].odd0 ^ other[1].odd0) != 0
