@@ -15,8 +15,8 @@ which lines share one with another line; a line leaves it once, however many
 partners it has. Only those lines are fetched and joined by their keys. Pairs
 whose sketches (parities of hashed pairs of neighbouring characters, of which an
 edit turns four at most) differ too far are dropped inside that join, those whose
-letter counts do after it, and what is left is verified by a banded bit-parallel
-edit distance: for each number of edits a bit-vector over the 2t + 1 diagonals of
+letter counts do after it, and what is left, less its common beginning and end, is
+verified by a banded bit-parallel edit distance: for each number of edits a bit-vector over the 2t + 1 diagonals of
 the band, all of whose cells one column of the comparison moves on by shifts and
 ors. Links are counted by line and not kept as pairs. A line goes if an equal or
 linked one came earlier.
@@ -51,6 +51,10 @@ LETTERS = "etanoisrhldcum0123456789"
 PER_SKETCH = 4
 
 
+#: First of the halving steps that take equal beginnings and ends off two lines.
+END_STEP = 4096
+
+
 def allowed(n: int, edits: int = EDITS) -> int:
     """Edits between two different lines of which the shorter has n characters."""
     return min(edits, n // PER_EDIT)
@@ -159,6 +163,24 @@ def with_distance(rows: DataFrame, a: str, b: str, out: str, edits: int = EDITS)
     return rows.withColumn(out, found).drop(x, y, apart)
 
 
+def without_common_ends(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """rows with the string columns a and b replaced by what lies between their
+    common beginning and their common end, reversed: of the same edit distance. Up
+    to 2 * `END_STEP` - 1 characters are taken off either end, found by halving
+    steps."""
+    (at,) = fresh(rows, "at")
+    for _ in range(2):
+        step = END_STEP
+        rows = rows.withColumn(at, F.lit(0))
+        while step:
+            parts = [F.substring(F.col(c), F.col(at) + 1, F.lit(step)) for c in (a, b)]
+            same = (parts[0] == parts[1]) & (F.char_length(parts[0]) == step)
+            rows = rows.withColumn(at, F.col(at) + F.when(same, step).otherwise(0))
+            step //= 2
+        rows = rows.withColumns({c: F.reverse(F.substring(F.col(c), F.col(at) + 1, F.char_length(c))) for c in (a, b)})
+    return rows.drop(at)
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line, k1, k2) of every line that isn't empty; k1 and k2 are
     independent hashes of it."""
@@ -212,7 +234,9 @@ def linked(docs: DataFrame, found: DataFrame, edits: int = EDITS) -> DataFrame:
     both = candidates(some, edits).join(side("u", "a"), "a").join(side("v", "b"), "b").filter(_letters_apart("u_line", "v_line") <= 2 * edits)
     n = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     both = both.repartition(n, "a", "b")  # few rows, each of them costly: to all cores
-    both = with_distance(both, "u_line", "v_line", "apart", edits).filter(F.col("apart") <= _allowed(F.least(F.char_length("u_line"), F.char_length("v_line")), edits))
+    both = both.withColumn("most", _allowed(F.least(F.char_length("u_line"), F.char_length("v_line")), edits))
+    both = with_distance(without_common_ends(both, "u_line", "v_line"), "u_line", "v_line", "apart", edits)
+    both = cut(both.select("u", "v", "most", "apart")).filter("apart <= most")  # a filter moved before the columns it reads would compute them anew for each character
     ends = both.select(F.explode(F.array(F.struct(F.col("u").alias("own"), (F.col("v") < F.col("u")).alias("near")), F.struct(F.col("v").alias("own"), (F.col("u") < F.col("v")).alias("near")))).alias("end"))
     ends = ends.select(F.col("end.own.k1").alias("k1"), F.col("end.own.k2").alias("k2"), F.col("end.own.doc_id").alias("doc_id"), F.col("end.near").cast("int").alias("near"))
     return cut(ends.groupBy("k1", "k2", "doc_id").agg(F.count(F.lit(1)).alias("n_links"), F.max("near").alias("near")))

@@ -134,3 +134,16 @@ def test_an_edit_turns_four_bits_of_a_sketch_at_most(spark):
     assert max(turned) == ld.PER_SKETCH
     other = ld.with_sketch(spark.createDataFrame([("the quick brown fox",), ("a slow yellow dog at",)], "line string")).collect()
     assert (other[0].odd0 ^ other[1].odd0) != 0
+
+
+def test_common_ends_are_taken_off_without_a_change_of_distance(spark):
+    r = random.Random(5)
+    pairs = [("aaa", "aa"), ("", "b"), ("same", "same"), ("aXb", "aYb"), ("abab", "ab")]
+    for n in [1, 5, 30, 90] * 8:
+        w = "".join(r.choice("abü") for _ in range(n))
+        at = r.randrange(n)
+        pairs.append((w, w[:at] + r.choice("abü") * r.randint(0, 2) + w[at + r.randint(0, 2) :]))
+    got = ld.without_common_ends(spark.createDataFrame([(i, *p, *p) for i, p in enumerate(pairs)], "i int, a string, b string, x string, y string"), "a", "b").collect()
+    for row in got:
+        assert distance(row["a"], row["b"]) == distance(row["x"], row["y"]), row
+        assert not (row["a"] and row["b"]) or (row["a"][0] != row["b"][0] and row["a"][-1] != row["b"][-1]), row
