@@ -135,8 +135,12 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.regexp_extract(url, "^(https?)://", 1).alias("scheme"), F.regexp_extract(url, "^https?://([^/:?#]+)", 1).alias("host"), "page_id")
 
 
-@query("SELECT c_custkey, rn AS row_id FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS rn FROM customer)")
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+@query(f"SELECT {_LINE}, row_number() OVER (ORDER BY {_LINE}) - 1 AS row_id FROM lineitem")
 def row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.sources.files import with_row_index
 
-    return with_row_index(table(spark, sf_dir, "customer").select("c_custkey"), order=["c_custkey"]).select("c_custkey", F.col("row_id").cast("long").alias("row_id"))
+    keys = _LINE.split(", ")
+    return with_row_index(table(spark, sf_dir, "lineitem").select(*keys), order=keys)

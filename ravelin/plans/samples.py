@@ -67,11 +67,9 @@ def shuffled_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.shuffled(some, 6).select("row_id", "sample_id")
 
 
-@query("WITH r AS (SELECT o_orderkey AS row_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) SELECT row_id FROM r WHERE i % 4 = 1")
+@query(f"WITH {OD}, r AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i FROM od) SELECT row_id FROM r WHERE i % 4 = 1")
 def worker_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ravelin.sources.views import table
-
-    return sm.worker_slice(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id")), 1, 4)
+    return sm.worker_slice(orders_log(spark, sf_dir).select("row_id"), 1, 4)
 
 
 @query(f"""WITH {DOC}, n AS (SELECT row_id, len(regexp_extract_all(text, '[^\\s\\x0b]+')) AS n FROM doc)

@@ -15,4 +15,5 @@ from ravelin.sources.files import (  # noqa: F401
     write_parquet,
     write_tsv,
 )
+from ravelin.sources.store import clean, cut, remove, shared_dir  # noqa: F401
 from ravelin.sources.views import documents_log, events_log, orders_log, table  # noqa: F401

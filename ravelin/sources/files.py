@@ -6,10 +6,12 @@ import json
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ravelin.sources.store import cut
+
 #: What an interaction log of reviews looks like at rest; nested fields are not read.
 REVIEW_SCHEMA = T.StructType(
     [
@@ -45,22 +47,32 @@ def read_ndjson(spark: SparkSession, path: str, schema: T.StructType, columns: S
     return df.select(*columns) if columns else df
 
 
-def with_row_index(df: DataFrame, name: str = "row_id", order: Sequence[str] | None = None) -> DataFrame:
-    """df with a number for each row, 0 and up.
+#: monotonically_increasing_id() counts inside a task from its number times this.
+_TASK = 1 << 33
+
+
+def with_row_index(df: DataFrame, name: str = "row_id", order: Sequence[str | Column] | None = None) -> DataFrame:
+    """df with a number for each row, 0 and up without gaps.
 
     With order (columns that make rows unique) the numbers follow it and any
-    partitioning gives the same ones: rows are range-partitioned by it, counted
-    by partition (a row for each partition) and numbered inside. Without, they
-    follow the order in which files are read. Persist the result before use.
-    """
+    partitioning gives the same ones; rows that tie in it are numbered in some
+    order. Without, they follow the order in which files are read. The rows are
+    written once with the task that holds them and their place in it, and counted
+    and numbered from that table: no plan is run twice, so bounds sampled anew or
+    partitions merged otherwise cannot matter. Runs a job for the table; what a
+    task's rows begin at is a row for each task, summed in one window."""
+    place = "__place"
+    rows = df
     if order:
-        parts = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
-        sizes = parts.groupBy("__part").count()
-        base = sizes.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-        inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-        return parts.withColumn("__in", inside).join(F.broadcast(base), "__part").withColumn(name, F.col("__base") + F.col("__in")).drop("__part", "__in", "__base")
-    numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(numbered, T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)]))
+        by = [F.col(c) if isinstance(c, str) else c for c in order]
+        rows = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    stored = cut(rows.withColumn(place, F.monotonically_increasing_id()))
+    task = F.expr(f"{place} div {_TASK}")
+    sizes = stored.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
+    base = sizes.select(F.col("__task"), F.coalesce(before, F.lit(0)).alias("__base"))
+    numbered = stored.join(F.broadcast(base), task == F.col("__task"))
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__base") + F.col(place) % _TASK).alias(name))
 
 
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
