@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import decontam, fingerprints, linededup, mixture, pii, quality, secret_scan, simhash, toxicity, wavelet
+from ravelin.llm import decontam, fingerprints, importance, linededup, mixture, pii, quality, secret_scan, simhash, toxicity, wavelet
 from ravelin.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup_query(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,9 +68,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixture,
         op9_simhash,
         op10_line_dedup,
+        op11_importance,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op8_mixture": mixture.ORACLE,
+    "op11_importance": importance.ORACLE,
 }
