@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import decontam, fingerprints, importance, linededup, mixture, pii, quality, secret_scan, simhash, toxicity, wavelet
+from ravelin.llm import decontam, fingerprints, importance, license_scan, linededup, mixture, pii, quality, secret_scan, simhash, toxicity, wavelet
 from ravelin.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_simhash,
         op10_line_dedup,
         op11_importance,
+        op12_licenses,
     )
 }
 
