@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import decontam, fingerprints, importance, license_scan, linededup, mixture, pii, quality, secret_scan, simhash, toxicity, wavelet
+from ravelin.llm import alignment, decontam, fingerprints, importance, license_scan, linededup, mixture, pii, quality, secret_scan, simhash, toxicity, wavelet
 from ravelin.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_query(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_line_dedup,
         op11_importance,
         op12_licenses,
+        op13_alignment,
     )
 }
 
