@@ -156,9 +156,11 @@ def nearest_quantile(df: DataFrame, col: str, q: float, at_once: int = 200_000)
 
 def value_deciles(df: DataFrame, col: str, parts: int = 10) -> DataFrame:
     """df with `decile` 1 to parts by value: breakpoints are linear quantiles, equal
-    values share one, a value on a breakpoint belongs below it. Runs a job."""
-    cuts = df.agg(F.percentile(col, [i / parts for i in range(1, parts)]).alias("q")).first()["q"] or []
+    values share one, a value on a breakpoint belongs below it. Runs jobs."""
+    from ravelin.operators.quantiles import quantiles
+
+    cuts = quantiles(df, col, [i / parts for i in range(1, parts)]).filter("value IS NOT NULL").collect()  # a row for a breakpoint
     decile = F.lit(1)
-    for c in cuts:
+    for c in sorted(r["value"] for r in cuts):
         decile = decile + (F.col(col) > c).cast("int")
     return df.withColumn("decile", decile)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions.time import elapsed_days, micros
+from ravelin.operators.quantiles import quantiles
 
 ORDER = ("ts", "row_id")
 
@@ -30,10 +31,10 @@ def with_gap(df: DataFrame, user: str = "user_id") -> DataFrame:
 
 
 def median_gap(df: DataFrame, user: str = "user_id") -> DataFrame:
-    """median_gap_days: the median over users of their median gap between rows."""
+    """median_gap_days: the median over users of their median gap between rows. Runs jobs."""
     gap = (micros(F.col("ts")) - micros(F.lag("ts").over(by_user(user)))) / F.lit(86_400_000_000)
-    each = df.select(user, gap.alias("gap")).filter("gap IS NOT NULL").groupBy(user).agg(F.median("gap").alias("gap"))
-    return each.agg(F.median("gap").alias("median_gap_days"))
+    each = quantiles(df.select(user, gap.alias("gap")), "gap", [0.5], by=[user])
+    return quantiles(each, "value", [0.5]).select(F.col("value").alias("median_gap_days"))
 
 
 def leave_one_out(df: DataFrame, user: str = "user_id") -> DataFrame:

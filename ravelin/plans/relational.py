@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.operators import relational as rel
+from ravelin.operators.quantiles import quantiles, spread
 from ravelin.plans.registry import EV, OD, query
 from ravelin.sources.views import events_log, orders_log, table
 
@@ -116,8 +117,9 @@ def nearest_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.9), 6) AS q90 FROM events GROUP BY 1")
 def linear_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = [F.round(F.percentile("value", p), 6).alias(f"q{round(p * 100)}") for p in (0.25, 0.5, 0.9)]
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*q)
+    names = [(p, f"q{round(p * 100)}") for p in (0.25, 0.5, 0.9)]
+    found = spread(quantiles(table(spark, sf_dir, "events"), "value", [p for p, _ in names], by=["event_type"]), names, ["event_type"])
+    return found.select("event_type", *[F.round(name, 6).alias(name) for _, name in names])
 
 
 @query(f"""WITH {EV}, c AS (SELECT user_id, label, count(*) AS n FROM ev GROUP BY 1, 2),

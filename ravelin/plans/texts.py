@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ravelin.functions import text as tx
 from ravelin.operators import eda
 from ravelin.operators import lexicon as lx
+from ravelin.operators.quantiles import quantiles, spread
 from ravelin.operators.relational import value_deciles
 from ravelin.plans.registry import DOC, query
+from ravelin.sources.store import cut
 from ravelin.sources.views import documents_log
 
 # A lexicon of words that the documents hold; \b and classes are plain ASCII so
@@ -67,15 +69,13 @@ def evidence_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT category, pos, row_number() OVER (PARTITION BY category ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY category) AS n FROM p)
 SELECT category, count(*) AS n, round(median(pos), 6) AS median_pos, round(max(CASE WHEN i = round_even((n - 1) * 0.9::DOUBLE, 0)::BIGINT THEN pos END), 6) AS p90_pos FROM r GROUP BY 1""")
 def detection_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     d = documents_log(spark, sf_dir).withColumn("at", F.instr("text", " and ")).filter("at > 0")
     d = d.select("category", (tx.byte_offset(F.col("text"), F.col("at") - 1) / F.char_length("text")).alias("pos"))
-    i = F.row_number().over(Window.partitionBy("category").orderBy("pos")) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy("category"))
-    d = d.select("category", "pos", i.alias("i"), n.alias("n"))
-    at = F.rint((F.col("n") - 1) * F.lit(0.9)).cast("long")
-    return d.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("pos"), 6).alias("median_pos"), F.round(F.max(F.when(F.col("i") == at, F.col("pos"))), 6).alias("p90_pos"))
+    d = cut(d)
+    found = spread(quantiles(d, "pos", [0.5], ["category"]), [(0.5, "median_pos")], ["category"])
+    high = spread(quantiles(d, "pos", [0.9], ["category"], "nearest"), [(0.9, "p90_pos")], ["category"])
+    n = d.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(found, "category").join(high, "category").select("category", "n", F.round("median_pos", 6).alias("median_pos"), F.round("p90_pos", 6).alias("p90_pos"))
 
 
 @query(f"WITH {DOC} SELECT row_id, len(regexp_extract_all(text, '[^\\s\\x0b]+'))::BIGINT AS n_words, length(text) AS n_chars FROM doc")
