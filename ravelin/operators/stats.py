@@ -1,9 +1,6 @@
 """Intervals, resampling, agreement, weights and calibration.
 
-Undefined results are null. Bootstraps weigh each row with a Poisson(1) count
-drawn from md5 of seed, replicate and row, so replicates are additive sums: they
-aggregate on the map side, need no copy of the data and come out the same for
-any partitioning.
+Undefined results are null. How bootstraps draw and add up: ravelin.operators.bootstrap.
 """
 
 from __future__ import annotations
@@ -15,10 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.functions.seeds import draw_key, unit
+from ravelin.operators.bootstrap import POISSON, interval, replicate_sums  # noqa: F401
 
-#: P(X <= k) of a Poisson(1) count for k = 0 to 7.
-POISSON = tuple(math.fsum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8))
 Z95 = 1.959963985
 
 
@@ -69,21 +64,10 @@ def aligned(a: DataFrame, b: DataFrame, key: str = "user_id") -> None:
         raise ValueError(f"{key} sets differ")
 
 
-def poisson_weight(u: Column) -> Column:
-    """The Poisson(1) count of a uniform number."""
-    out = F.lit(0)
-    for t in POISSON:
-        out = out + (u >= F.lit(t)).cast("int")
-    return out
-
-
 def bootstrap_mean(df: DataFrame, key: str, col: str, replicates: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """One row: n, mean, lo and hi (percentile interval of the replicates' means)."""
-    reps = df.select(F.col(key), F.col(col).cast("double").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    w = poisson_weight(unit(draw_key(seed, F.col("rep"), F.col(key))))
-    means = reps.select("rep", "x", w.alias("w")).groupBy("rep").agg((F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    tail = (1 - level) / 2
-    ends = means.agg(F.percentile("m", tail).alias("lo"), F.percentile("m", 1 - tail).alias("hi"))
+    sums = replicate_sums(df, key, {"x": F.col(col)}, replicates, seed)
+    ends = interval(sums, F.col("x") / F.nullif(F.col("w"), F.lit(0.0)), level)
     return df.agg(F.count(F.lit(1)).alias("n"), F.avg(col).alias("mean")).crossJoin(ends)
 
 
@@ -97,13 +81,11 @@ def independent_bootstrap(a: DataFrame, b: DataFrame, col: str, key: str = "user
     """One row: diff of the means of two groups, lo, hi; their draws are apart."""
 
     def means(df: DataFrame, s: int, name: str) -> DataFrame:
-        reps = df.select(key, F.col(col).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-        w = poisson_weight(unit(draw_key(s, F.col("rep"), F.col(key))))
-        return reps.select("rep", "x", w.alias("w")).groupBy("rep").agg((F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0))).alias(name))
+        return replicate_sums(df, key, {"x": F.col(col)}, replicates, s).select("rep", (F.col("x") / F.nullif(F.col("w"), F.lit(0.0))).alias(name))
 
     d = means(a, seed, "x").join(means(b, seed + 1, "y"), "rep").select((F.col("x") - F.col("y")).alias("d"))
     point = a.agg(F.avg(col).alias("x")).crossJoin(b.agg(F.avg(col).alias("y"))).select((F.col("x") - F.col("y")).alias("diff"))
-    return point.crossJoin(d.agg(F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi")))
+    return point.crossJoin(interval(d, F.col("d")))
 
 
 def interpret(lo: Column, hi: Column, placebo: bool = True) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.functions.labels import in_set
-from ravelin.functions.seeds import draw_key, unit
-from ravelin.operators.stats import consensus, poisson_weight, wilson
+from ravelin.operators.bootstrap import interval, replicate_sums
+from ravelin.operators.stats import consensus, wilson
 
 
 def precision_by_stratum(df: DataFrame, stratum: str, right: Column, z: float = 1.96) -> DataFrame:
@@ -59,41 +59,31 @@ def primary_reference(df: DataFrame, raters: Sequence[str], name: str) -> DataFr
     return df.withColumn("reference", F.col(name))
 
 
-def _replicates(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return reps.withColumn("w", poisson_weight(unit(draw_key(seed, F.col("rep"), F.col(key)))))
+def _rate(a: str, b: str) -> Column:
+    return F.col(a) / F.nullif(F.col(b), F.lit(0.0))
+
+
+def _with_interval(rows: DataFrame, columns: dict[str, Column], value: Column, name: str, key: str, replicates: int, seed: int) -> DataFrame:
+    """One row: a value of the columns' sums under the given name, lo and hi."""
+    point = rows.agg(*[F.sum(c).alias(n) for n, c in columns.items()]).select(value.alias(name))
+    return point.crossJoin(interval(replicate_sums(rows, key, columns, replicates, seed), value))
 
 
 def ratio_ci(df: DataFrame, key: str, hit: Column, top: Column, bottom: Column, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """One row: the ratio of the rates of hit among rows of top and of bottom, with
     lo and hi; replicates without a bottom rate do not count."""
-    h = hit.cast("double")
-    rows = df.select(key, h.alias("h"), top.alias("t"), bottom.alias("b"))
-
-    def ratio(w: Column) -> Column:
-        def rate(on: str) -> Column:
-            return F.sum(F.when(F.col(on), w * F.col("h"))) / F.nullif(F.sum(F.when(F.col(on), w)), F.lit(0))
-
-        return rate("t") / F.nullif(rate("b"), F.lit(0.0))
-
-    means = _replicates(rows, key, replicates, seed).groupBy("rep").agg(ratio(F.col("w")).alias("m"))
-    ends = means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
-    return rows.agg(ratio(F.lit(1)).alias("ratio")).crossJoin(ends)
+    rows = df.select(key, hit.cast("double").alias("h"), top.alias("t"), bottom.alias("b"))
+    columns = {f"{c}{part}": F.when(F.col(c), F.col("h") if part == "h" else F.lit(1.0)).otherwise(0.0) for c in "tb" for part in "hn"}
+    return _with_interval(rows, columns, _rate("th", "tn") / F.nullif(_rate("bh", "bn"), F.lit(0.0)), "ratio", key, replicates, seed)
 
 
 def f1_ci(df: DataFrame, key: str, ref: Column, pred: Column, replicates: int = 2000, seed: int = 42, weight: Column | None = None) -> DataFrame:
     """One row: F1 of a two-valued label with lo and hi, rows weighted if asked."""
     rows = df.select(key, ref.alias("r"), pred.alias("p"), (weight if weight is not None else F.lit(1.0)).alias("v"))
-
-    def f1(w: Column) -> Column:
-        def s(on: Column) -> Column:
-            return F.sum(F.when(on, w * F.col("v")).otherwise(F.lit(0.0)))
-
-        tp = s(F.col("r") & F.col("p"))
-        return 2 * tp / F.nullif(s(F.col("r")) + s(F.col("p")), F.lit(0.0))
-
-    each = _replicates(rows, key, replicates, seed).groupBy("rep").agg(f1(F.col("w")).alias("m"))
-    return rows.agg(f1(F.lit(1)).alias("f1")).crossJoin(each.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi")))
+    r, p = F.col("r"), F.col("p")
+    columns = {name: F.when(on, F.col("v")).otherwise(0.0) for name, on in (("tp", r & p), ("in_ref", r), ("in_pred", p))}
+    f1 = 2 * F.col("tp") / F.nullif(F.col("in_ref") + F.col("in_pred"), F.lit(0.0))
+    return _with_interval(rows, columns, f1, "f1", key, replicates, seed)
 
 
 def calibrated_ci(model: DataFrame, checked: DataFrame, key: str, label: str, right: Column, replicates: int = 2000, seed: int = 42) -> DataFrame:
@@ -108,17 +98,14 @@ def calibrated_ci(model: DataFrame, checked: DataFrame, key: str, label: str, ri
         g = j.groupBy(*by) if by else j.groupBy()
         return g.agg(F.when(~bad, F.sum(F.col("share") * F.coalesce("ppv", F.lit(0.0)))).alias("m"))
 
-    def parts(df: DataFrame, w: Column, by: list[str], value: Column | None) -> DataFrame:
-        if value is None:
-            n = df.groupBy(*by, label).agg(F.sum(w).alias("n"))
-            total = df.groupBy(*by).agg(F.sum(w).alias("t")) if by else df.agg(F.sum(w).alias("t"))
-            j = n.join(total, by) if by else n.crossJoin(F.broadcast(total))
-            return j.select(*by, label, (F.col("n") / F.nullif(F.col("t"), F.lit(0))).alias("share"))
-        return df.groupBy(*by, label).agg((F.sum(w * value) / F.nullif(F.sum(w), F.lit(0))).alias("ppv"))
+    def shares(n: DataFrame, by: list[str]) -> DataFrame:
+        total = n.groupBy(*by).agg(F.sum("n").alias("t"))
+        j = n.join(total, by) if by else n.crossJoin(F.broadcast(total))
+        return j.select(*by, label, _rate("n", "t").alias("share"))
 
     ok = checked.select(key, label, right.cast("double").alias("__r"))
-    point = rate(parts(model, F.lit(1), [], None), parts(ok, F.lit(1), [], F.col("__r")), [])
-    a = parts(_replicates(model.select(key, label), key, replicates, seed), F.col("w"), ["rep"], None)
-    b = parts(_replicates(ok, key, replicates, seed + 1), F.col("w"), ["rep"], F.col("__r"))
-    ends = rate(a, b, ["rep"]).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
-    return point.withColumnRenamed("m", "rate").crossJoin(ends)
+    n = model.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    point = rate(shares(n, []), ok.groupBy(label).agg(F.avg("__r").alias("ppv")), [])
+    a = replicate_sums(model, key, {}, replicates, seed, by=label).withColumnRenamed("w", "n")
+    b = replicate_sums(ok, key, {"r": F.col("__r")}, replicates, seed + 1, by=label).select("rep", label, _rate("r", "w").alias("ppv"))
+    return point.withColumnRenamed("m", "rate").crossJoin(interval(rate(shares(a, ["rep"]), b, ["rep"]), F.col("m")))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions.labels import in_set
+from ravelin.operators import bootstrap as bs
 from ravelin.operators import eda, stats
 from ravelin.operators import relational as rel
 from ravelin.operators import sequence as seq
 from ravelin.operators import validation as va
-from ravelin.plans.measures import _RATED, _hit, _rated
+from ravelin.plans.measures import _CHECKED, _IPW, _RATED, _checked, _frames, _hit, _rated
 from ravelin.plans.registry import DOC, EV, OD, query
 from ravelin.plans.relational import _core_sql, _pairs
 from ravelin.sources.views import documents_log, events_log, orders_log, table
@@ -35,10 +36,10 @@ def two_axis_seasonality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("axis", *[F.round(c, 6).alias(c) for c in ("peak_rate", "trough_rate", "ratio")])
 
 
-@query(f"WITH {_RATED} SELECT count(*) AS n, round(avg((a.ref = b.third)::INT::DOUBLE), 6) AS agreement FROM rt a JOIN rt b USING (doc_id) WHERE doc_id % 2 = 0")
+@query(f"WITH {_RATED}, {_CHECKED} SELECT count(*) AS n, round(avg((a.ref = b.third)::INT::DOUBLE), 6) AS agreement FROM rt a JOIN ck b USING (doc_id)")
 def overlap_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _rated(spark, sf_dir)
-    a = va.overlap_agreement(r.select("doc_id", F.col("ref").alias("label")), r.filter("doc_id % 2 = 0").select("doc_id", F.col("third").alias("label")), "doc_id")
+    a = va.overlap_agreement(r.select("doc_id", F.col("ref").alias("label")), _checked(r).select("doc_id", F.col("third").alias("label")), "doc_id")
     return a.select("n", F.round("agreement", 6).alias("agreement"))
 
 
@@ -76,7 +77,7 @@ def f1_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(*[F.round(x, 6).alias(x) for x in ("f1", "lo", "hi")])
 
 
-@query(f"""WITH {_RATED}, ck AS (SELECT doc_id, pred AS label, (ref = 'gift_given')::INT::DOUBLE AS r FROM rt WHERE doc_id % 2 = 0), md AS (SELECT doc_id, pred AS label FROM rt),
+@query(f"""WITH {_RATED}, {_CHECKED.replace('ck AS', 'ck0 AS')}, ck AS (SELECT doc_id, pred AS label, (ref = 'gift_given')::INT::DOUBLE AS r FROM ck0), md AS (SELECT doc_id, pred AS label FROM rt),
 wa AS {_reps('md', 'doc_id', 100, 42)}, wb AS {_reps('ck', 'doc_id', 100, 43)},
 sa AS (SELECT rep, label, sum(w) / nullif((sum(sum(w)) OVER (PARTITION BY rep))::DOUBLE, 0) AS share FROM wa GROUP BY 1, 2), sb AS (SELECT rep, label, sum(w * r) / nullif(sum(w), 0) AS ppv FROM wb GROUP BY 1, 2),
 m AS (SELECT rep, CASE WHEN bool_or(share > 0 AND ppv IS NULL) THEN NULL ELSE sum(share * coalesce(ppv, 0)) END AS m FROM sa LEFT JOIN sb USING (rep, label) GROUP BY 1),
@@ -85,11 +86,39 @@ SELECT round(any_value(rate), 6) AS rate, round(quantile_cont(m, 0.025), 6) AS l
 def calibrated_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _rated(spark, sf_dir)
     model = r.select("doc_id", F.col("pred").alias("label"))
-    checked = r.filter("doc_id % 2 = 0").select("doc_id", F.col("pred").alias("label"), "ref")
+    checked = _checked(r).select("doc_id", F.col("pred").alias("label"), "ref")
     c = va.calibrated_ci(model, checked, "doc_id", "label", F.col("ref") == "gift_given", replicates=100)
     return c.select(*[F.round(x, 6).alias(x) for x in ("rate", "lo", "hi")])
 
 
+_CLASSES = ("self", "gift_given", "household", "received")
+_BY_CLASS = ", ".join(f"sum(v) FILTER (ref = '{c}') AS r{i}, sum(v) FILTER (pred = '{c}') AS p{i}, sum(v) FILTER (ref = '{c}' AND pred = '{c}') AS t{i}" for i, c in enumerate(_CLASSES))
+
+
+def _scores_sql(rows: str) -> str:
+    """(rep, label, score, m) of a table with ref, pred, v and rep."""
+    f1 = [f"2 * coalesce(t{i}, 0) / nullif(coalesce(r{i}, 0) + coalesce(p{i}, 0), 0)" for i in range(len(_CLASSES))]
+    out = [f"SELECT rep, 'all' AS label, 'accuracy' AS score, ({' + '.join(f'coalesce(t{i}, 0)' for i in range(len(_CLASSES)))}) / nullif(s, 0) AS m FROM {rows}", f"SELECT rep, 'all', 'macro_f1', list_avg(list_filter([{', '.join(f1)}], lambda x: x IS NOT NULL)) FROM {rows}"]
+    for i, c in enumerate(_CLASSES):
+        out += [f"SELECT rep, '{c}', 'precision', coalesce(t{i}, 0) / nullif(p{i}, 0) FROM {rows}", f"SELECT rep, '{c}', 'recall', coalesce(t{i}, 0) / nullif(r{i}, 0) FROM {rows}", f"SELECT rep, '{c}', 'f1', {f1[i]} FROM {rows}"]
+    return " UNION ALL ".join(out)
+
+
+@query(f"""WITH {_IPW}, wt AS (SELECT category, label, (CASE WHEN n_sample >= 5 THEN coalesce(n, 0) / n_sample::DOUBLE ELSE 0 END + coalesce(thin, 0) / n_label::DOUBLE)::DOUBLE AS v
+  FROM sn LEFT JOIN pop USING (category, label) JOIN sl USING (label) LEFT JOIN th USING (label)),
+x AS (SELECT doc_id, category, label, label AS ref, pred, v, category || '|' || label AS stratum FROM smp JOIN wt USING (category, label)),
+o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42|order|' || doc_id), doc_id::VARCHAR) - 1 AS place, count(*) OVER (PARTITION BY stratum) AS size FROM x),
+d AS (SELECT b.range AS rep, stratum, floor(('0x' || substr(md5('42|' || b.range || '|' || stratum || '|0|' || place), 1, 8))::UBIGINT / 4294967296.0::DOUBLE * size)::BIGINT AS place FROM o, range(100) b),
+s0 AS (SELECT d.rep, sum(v) AS s, {_BY_CLASS} FROM d JOIN o USING (stratum, place) GROUP BY 1), s1 AS (SELECT 0 AS rep, sum(v) AS s, {_BY_CLASS} FROM x),
+m AS ({_scores_sql('s0')}), p AS ({_scores_sql('s1')})
+SELECT label, score, round(any_value(p.m), 6) AS value, round(quantile_cont(m.m, 0.025), 6) AS lo, round(quantile_cont(m.m, 0.975), 6) AS hi FROM m JOIN p USING (label, score) GROUP BY 1, 2""")
+def stratified_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample, population = _frames(spark, sf_dir)
+    weighted = sample.join(stats.ipw(sample, population)[0].select("category", "label", "weight"), ["category", "label"])
+    s = bs.stratified_scores(weighted, "doc_id", "label", "pred", ["category", "label"], _CLASSES, "weight", replicates=100)
+    return s.select("label", "score", *[F.round(c, 6).alias(c) for c in ("value", "lo", "hi")])
+
+
 @query(_core_sql(20, 14, "SELECT round((SELECT avg((label = 'gift_given')::INT::DOUBLE) FROM od), 6) AS clean_rate, round(avg((label = 'gift_given')::INT::DOUBLE), 6) AS core_rate FROM od SEMI JOIN p14 USING (user_id, item)"))
 def clean_and_core_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = orders_log(spark, sf_dir)

@@ -29,11 +29,11 @@ def trial_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", "role", "stratum", "sample_id")
 
 
-@query(f"""WITH {DOC}, s AS (SELECT row_id, CASE WHEN row_id % 50 = 0 THEN text || '!' ELSE text END AS text FROM doc WHERE row_id % 5 = 0 UNION ALL SELECT -1, 'x')
+@query(f"""WITH {DOC}, s AS (SELECT row_id, CASE WHEN row_id % 50 = 0 THEN text || '!' ELSE text END AS text FROM doc UNION ALL SELECT -1, 'x')
 SELECT count(*) AS n, count(*) FILTER (doc.row_id IS NULL) AS missing, count(*) FILTER (doc.row_id IS NOT NULL AND s.text <> doc.text) AS drifted FROM s LEFT JOIN doc ON s.row_id = doc.row_id""")
 def text_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents_log(spark, sf_dir).select("row_id", "text")
-    s = d.filter("row_id % 5 = 0").withColumn("text", F.when(F.col("row_id") % 50 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    s = d.withColumn("text", F.when(F.col("row_id") % 50 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     return sm.text_drift(s.unionAll(spark.createDataFrame([(-1, "x")], "row_id long, text string")), d, ["row_id"])
 
 

@@ -181,13 +181,13 @@ def test_pairs_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.pairs_sha256(_split(spark, sf_dir).filter("split = 'test'").select("user_id", "item").distinct())
 
 
-@query("""WITH q AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id < 20),
+@query("""WITH q AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT qid, vec_id, round(list_cosine_similarity(qe, embedding)::DOUBLE, 4) AS score FROM q, embeddings WHERE vec_id <> qid),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT qid, vec_id, rank::INT AS rank FROM r WHERE rank <= 5""")
+SELECT qid, vec_id, rank::INT AS rank FROM r WHERE rank <= 10""")
 def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return stats.cosine_topk(e.filter("vec_id < 20"), e, 5, digits=4)
+    return stats.cosine_topk(e.filter("vec_id % 50 = 0"), e, 10, digits=4)
 
 
 @query("""WITH q AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.functions.labels import in_set
-from ravelin.operators import eda, stats
+from ravelin.operators import eda, sampling, stats
 from ravelin.operators import marketing as mk
 from ravelin.operators import sequence as seq
 from ravelin.plans.registry import EV, OD, SPLIT, query
@@ -130,6 +130,15 @@ def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", ref.alias("ref"), F.when(d % 7 == 0, "unclear").when(d % 5 == 0, "self").otherwise(ref).alias("pred"), F.when(d % 3 == 0, "gift_given").otherwise(ref).alias("third"))
 
 
+#: The half of the rows that a person has checked: drawn by prediction.
+_CHECKED = """ck AS (SELECT doc_id, ref, pred, third FROM (SELECT *, count(*) OVER (PARTITION BY pred) AS n, row_number() OVER (PARTITION BY pred ORDER BY md5('2|' || pred || '|' || doc_id), doc_id) AS rn FROM rt)
+WHERE rn <= CASE WHEN n < 2 THEN 0 ELSE round_even(n * 0.5::DOUBLE, 0) END)"""
+
+
+def _checked(rated: DataFrame) -> DataFrame:
+    return sampling.holdout(rated, F.col("pred"), 0.5, 2, "doc_id").filter("part = 'holdout'").drop("part")
+
+
 _CELLS = f"{_RATED}, cm AS (SELECT ref, pred, count(*) AS n FROM rt GROUP BY 1, 2)"
 _PRF = f"""{_CELLS}, sd AS (SELECT ref AS label, n::DOUBLE AS r, 0.0::DOUBLE AS p, CASE WHEN ref = pred THEN n ELSE 0 END::DOUBLE AS tp FROM cm UNION ALL SELECT pred, 0.0::DOUBLE, n::DOUBLE, 0.0::DOUBLE FROM cm),
 pr AS (SELECT label, sum(r) AS support, sum(tp) / nullif(sum(p), 0) AS precision, sum(tp) / nullif(sum(r), 0) AS recall, 2 * sum(tp) / nullif(sum(r) + sum(p), 0) AS f1 FROM sd GROUP BY 1)"""
@@ -162,7 +171,8 @@ def binary_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-_IPW = f"""{_RATED}, smp AS (SELECT d.lang AS category, rt.ref AS label FROM rt JOIN documents d USING (doc_id) WHERE doc_id % 4 = 1),
+_IPW = f"""{_RATED}, smp0 AS (SELECT rt.doc_id, d.lang AS category, rt.ref AS label, rt.pred FROM rt JOIN documents d USING (doc_id)),
+smp AS (SELECT doc_id, category, label, pred FROM (SELECT *, count(*) OVER (PARTITION BY category) AS n, row_number() OVER (PARTITION BY category ORDER BY md5('4|' || category || '|' || doc_id), doc_id) AS rn FROM smp0) WHERE rn <= CASE WHEN n < 2 THEN 0 ELSE round_even(n * 0.25::DOUBLE, 0) END),
 pop AS (SELECT d.lang AS category, rt.ref AS label, count(*) AS n FROM rt JOIN documents d USING (doc_id) GROUP BY 1, 2),
 sn AS (SELECT category, label, count(*) AS n_sample FROM smp GROUP BY 1, 2), sl AS (SELECT label, sum(n_sample) AS n_label FROM sn GROUP BY 1),
 th AS (SELECT label, sum(n) AS thin FROM pop LEFT JOIN sn USING (category, label) WHERE coalesce(n_sample, 0) < 5 GROUP BY 1)"""
@@ -170,7 +180,8 @@ th AS (SELECT label, sum(n) AS thin FROM pop LEFT JOIN sn USING (category, label
 
 def _frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rated = _rated(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category")), "doc_id").withColumnRenamed("ref", "label")
-    return rated.filter("doc_id % 4 = 1"), rated.groupBy("category", "label").agg(F.count(F.lit(1)).alias("n"))
+    drawn = sampling.holdout(rated, F.col("category"), 0.25, 4, "doc_id").filter("part = 'holdout'").drop("part")
+    return drawn, rated.groupBy("category", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {_IPW} SELECT category, label, n_sample, round(CASE WHEN n_sample >= 5 THEN coalesce(n, 0) / n_sample::DOUBLE ELSE 0 END + coalesce(thin, 0) / n_label::DOUBLE, 6) AS weight
@@ -197,13 +208,13 @@ def fleiss_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select(F.round("kappa", 6).alias("kappa"), "n_rows", "n_dropped")
 
 
-@query(f"""WITH {_RATED}, sh AS (SELECT pred AS label, count(*) / (SELECT count(*) FROM rt)::DOUBLE AS share FROM rt GROUP BY 1), pv AS (SELECT pred AS label, avg((ref = 'gift_given')::INT::DOUBLE) AS ppv FROM rt WHERE doc_id % 2 = 0 GROUP BY 1)
+@query(f"""WITH {_RATED}, {_CHECKED}, sh AS (SELECT pred AS label, count(*) / (SELECT count(*) FROM rt)::DOUBLE AS share FROM rt GROUP BY 1), pv AS (SELECT pred AS label, avg((ref = 'gift_given')::INT::DOUBLE) AS ppv FROM ck GROUP BY 1)
 SELECT round(CASE WHEN bool_or(share > 0 AND ppv IS NULL) THEN NULL ELSE sum(share * coalesce(ppv, 0)) END, 6) AS rate FROM sh LEFT JOIN pv USING (label)""")
 def calibrated_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _rated(spark, sf_dir)
     n = r.agg(F.count(F.lit(1)).alias("all"))
     shares = r.groupBy(F.col("pred").alias("label")).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(n)).select("label", (F.col("n") / F.col("all")).alias("share"))
-    ppv = r.filter("doc_id % 2 = 0").groupBy(F.col("pred").alias("label")).agg(F.avg((F.col("ref") == "gift_given").cast("double")).alias("ppv"))
+    ppv = _checked(r).groupBy(F.col("pred").alias("label")).agg(F.avg((F.col("ref") == "gift_given").cast("double")).alias("ppv"))
     return stats.calibrated_rate(shares, ppv).select(F.round("rate", 6).alias("rate"))
 
 
