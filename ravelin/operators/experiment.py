@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions.labels import in_set
-from ravelin.functions.seeds import draw_key, seed_for
+from ravelin.functions.seeds import seed_for
+from ravelin.operators.sampling import draw
 
 SHADOW = "::gift"
 #: What each condition removes: the axis of labels; placebos name what they match.
@@ -37,12 +38,11 @@ def condition(split: DataFrame, code: str, seed: int = 42) -> DataFrame:
 
 def placebo_rows(split: DataFrame, code: str, seed: int = 42) -> DataFrame:
     """row_id of the train rows that a placebo leaves out: as many as its twin
-    does, first in the order of a seeded hash of the row id. Runs a job for the
-    number; the rows are picked by a sort with a limit, not on the driver."""
+    does, first in the order of a seeded hash of the row id. They are a share of the
+    data, so they are told by a cutting hash and not by a sort with a limit. Runs jobs."""
     train = split.filter("split = 'train'")
     n = train.filter(in_set(F.col("label"), REMOVES[PLACEBO_OF[code]])).count()
-    key = draw_key(seed_for(seed, code), F.lit("train"), F.col("row_id"))
-    return train.select("row_id", key.alias("key")).orderBy("key", "row_id").limit(n).select("row_id")
+    return draw(train.select("row_id"), F.lit("train"), n, seed_for(seed, code)).select("row_id")
 
 
 def report(c0: DataFrame, other: DataFrame, user: str = "user_id") -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions.seeds import draw_key
+from ravelin.sources.files import with_row_index
+from ravelin.sources.store import cut
 
 
 def allocate(counts: DataFrame, total: int, key: str = "stratum", n: str = "n") -> DataFrame:
@@ -47,17 +49,63 @@ def share_allocation(shares: Mapping[str, float], total: int, caps: Mapping[str,
     return out
 
 
+#: Rows of a stratum that are ranked in one window; in larger ones a prefix of the
+#: seeded key is searched that leaves no more in question.
+FEW = 50_000
+#: Hex digits by which a prefix grows: 4,096 slices of a stratum at a time.
+DIGITS = 3
+#: Strata (a row each) that are broadcast at most.
+MAX_SENT = 100_000
+
+
+def _cuts(keyed: DataFrame, wanted: DataFrame) -> tuple[DataFrame, int]:
+    """(stratum, alloc, prefix, below) and the prefix's length. keyed: stratum, key;
+    wanted: stratum, alloc. Of a stratum all rows whose key begins with less than the
+    prefix (`below` of them) are drawn, none whose key begins with more, and of the
+    others the first alloc - below. Slices are counted, a row for each slice and
+    stratum; no row is sorted. Runs jobs."""
+    w = wanted.select(F.col("stratum").alias("s"), "alloc")
+    some = keyed.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).join(w, F.col("stratum").eqNullSafe(F.col("s")))
+    state = cut(some.select("stratum", F.least("alloc", "n").cast("long").alias("alloc"), F.lit("").alias("prefix"), F.lit(0).cast("long").alias("below"), "n"))
+    length = 0
+    while length + DIGITS <= 32 and (facts := state.agg(F.max("n"), F.count(F.lit(1))).first())[0] is not None and facts[0] > FEW:
+        length += DIGITS
+        old = state.select(F.col("stratum").alias("s"), "alloc", "prefix", "below")
+        inside = keyed.join(F.broadcast(old) if facts[1] <= MAX_SENT else old, F.col("stratum").eqNullSafe(F.col("s")) & F.col("key").startswith(F.col("prefix")))
+        slices = inside.groupBy("stratum", "alloc", "below", F.substring("key", 1, length).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        before = F.sum("n").over(Window.partitionBy("stratum").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1))
+        slices = slices.withColumn("below", F.col("below") + F.coalesce(before, F.lit(0)))
+        at = F.greatest(F.col("alloc"), F.lit(1))
+        state = cut(slices.filter((F.col("below") < at) & (at <= F.col("below") + F.col("n"))).select("stratum", "alloc", "prefix", "below", "n"))
+    return state.drop("n"), length
+
+
+def _drawn(rows: DataFrame, wanted: DataFrame, seed: int, row_id: str) -> DataFrame:
+    """rows (with stratum) and __drawn: whether a row is among the first alloc of its
+    stratum in the seeded order. Strata that are not wanted are left out. Runs jobs."""
+    key = draw_key(seed, F.col("stratum"), F.col(row_id))
+    cuts, length = _cuts(rows.select("stratum", key.alias("key")), wanted)
+    cuts = cuts.withColumnRenamed("stratum", "__s")
+    n = cuts.count()
+    joined = rows.withColumn("__key", key).join(F.broadcast(cuts) if n <= MAX_SENT else cuts, F.col("stratum").eqNullSafe(F.col("__s")))
+    begin = F.substring("__key", 1, length)
+    sure = joined.filter(begin != F.col("prefix")).withColumn("__drawn", begin < F.col("prefix"))
+    turn = F.row_number().over(Window.partitionBy("stratum").orderBy("__key", row_id))
+    close = joined.filter(begin == F.col("prefix")).withColumn("__drawn", turn <= F.col("alloc") - F.col("below"))
+    both = sure.unionByName(close) if length else close
+    return both.drop("__key", "__s", "alloc", "prefix", "below")
+
+
 def draw(df: DataFrame, stratum: Column, allocation: DataFrame | Mapping[str, int] | int, seed: int, row_id: str = "row_id") -> DataFrame:
     """The first rows of each stratum in the seeded order: as many as the allocation
-    (stratum, alloc), a mapping, or one number for all says."""
+    (stratum, alloc), a mapping, or one number for all says. A null stratum is one like
+    others. Rows of equal id tie. No stratum is sorted as a whole. Runs jobs."""
     rows = df.withColumn("stratum", stratum)
-    key = draw_key(seed, F.col("stratum"), F.col(row_id))
-    rows = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("stratum").orderBy(key, row_id)))
     if isinstance(allocation, int):
-        return rows.filter(F.col("__rn") <= allocation).drop("__rn")
-    if not isinstance(allocation, DataFrame):
+        allocation = rows.select("stratum").distinct().withColumn("alloc", F.lit(allocation).cast("long"))
+    elif not isinstance(allocation, DataFrame):
         allocation = df.sparkSession.createDataFrame([(k, v) for k, v in allocation.items()] or [("", 0)], "stratum string, alloc long")
-    return rows.join(allocation.select("stratum", "alloc"), "stratum").filter("__rn <= alloc").drop("__rn", "alloc")
+    return _drawn(rows, allocation, seed, row_id).filter("__drawn").drop("__drawn")
 
 
 def stratified(df: DataFrame, stratum: Column, total: int, seed: int, row_id: str = "row_id") -> DataFrame:
@@ -95,19 +143,20 @@ def shuffled(df: DataFrame, seed: int, row_id: str = "row_id") -> DataFrame:
 def worker_slice(df: DataFrame, worker: int, workers: int, order: str = "row_id") -> DataFrame:
     """Every workers-th row in the order, from the worker-th (0 and up): rows are
     numbered by range partition, so no task sees all."""
-    from ravelin.sources.files import with_row_index
-
     return with_row_index(df, "__i", order=[order]).filter(F.col("__i") % workers == worker).drop("__i")
 
 
 def holdout(df: DataFrame, stratum: Column, fraction: float, seed: int, row_id: str = "row_id") -> DataFrame:
     """df with `part`: in each stratum of two rows or more round(n * fraction) rows
-    (halves to even) are holdout, others train."""
-    rows = df.withColumn("__s", stratum)
-    n = F.count(F.lit(1)).over(Window.partitionBy("__s"))
-    rn = F.row_number().over(Window.partitionBy("__s").orderBy(draw_key(seed, F.col("__s"), F.col(row_id)), row_id))
-    take = F.when(n < 2, 0).otherwise(F.rint(n * F.lit(fraction)))
-    return rows.withColumn("part", F.when(rn <= take, "holdout").otherwise("train")).drop("__s")
+    (halves to even) are holdout, others train. Runs jobs."""
+    clash = "stratum" in df.columns
+    rows = df.withColumn("__mine", stratum)
+    rows = (rows.withColumnRenamed("stratum", "__stratum") if clash else rows).withColumnRenamed("__mine", "stratum")
+    n = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    wanted = n.select("stratum", F.when(F.col("n") < 2, 0).otherwise(F.rint(F.col("n") * F.lit(fraction))).cast("long").alias("alloc"))
+    out = _drawn(rows, wanted, seed, row_id)
+    out = out.drop("stratum").withColumn("part", F.when(F.col("__drawn"), "holdout").otherwise("train")).drop("__drawn")
+    return out.withColumnRenamed("__stratum", "stratum") if clash else out
 
 
 def two_level(df: DataFrame, role: Column, stratum: Column, roles: Mapping[str, float], strata: Mapping[str, float], total: int, seed: int, row_id: str = "row_id", excluded: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
