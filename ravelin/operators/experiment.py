@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ravelin.functions.labels import in_set
 from ravelin.functions.seeds import seed_for
+from ravelin.operators.ranking import als_topk, cooccurrence_topk  # noqa: F401
 from ravelin.operators.sampling import draw
 
 SHADOW = "::gift"
@@ -129,47 +130,6 @@ def pairs_sha256(pairs: DataFrame, user: str = "user_id") -> DataFrame:
     return pairs.agg(F.sha2(F.array_join(F.transform(each, lambda s: F.concat(s["u"], F.lit("\t"), s["i"], F.lit("\n"))), "").cast("binary"), 256).alias("sha256"))
 
 
-def cooccurrence_topk(split: DataFrame, k: int, most_per_user: int | None = None, user: str = "user_id") -> DataFrame:
-    """(user, item, rank, score) by item-to-item co-occurrence in train: score is
-    the sum over a user's items of common users / sqrt(product of users). A user
-    brings all items, or at most most_per_user newest ones."""
-    train = split.filter("split = 'train'")
-    newest = Window.partitionBy(user).orderBy(F.desc("ts"), F.desc("row_id"))
-    if most_per_user is not None:
-        train = train.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= most_per_user)
-    ui = train.select(user, "item").distinct()
-    pop = ui.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    x, y = ui.withColumnRenamed("item", "a"), ui.withColumnRenamed("item", "b")
-    co = x.join(y, user).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    co = co.join(pop.select(F.col("item").alias("a"), F.col("n").alias("na")), "a").join(pop.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b")
-    sim = co.select("a", "b", (F.col("c") / F.sqrt(F.col("na") * F.col("nb"))).alias("sim"))
-    score = x.join(sim, "a").groupBy(user, "b").agg(F.sum("sim").alias("score")).withColumnRenamed("b", "item")
-    score = score.join(split.filter("split <> 'test'").select(user, "item").distinct(), [user, "item"], "left_anti")
-    w = Window.partitionBy(user).orderBy(F.desc(F.round("score", 9)), "item")
-    return score.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def als_topk(split: DataFrame, k: int, seed: int = 42, user: str = "user_id", **params) -> DataFrame:
-    """(user, item, rank) by implicit-feedback ALS, seen items left out. Users and
-    items are numbered; k plus a user's longest history is fetched before."""
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.recommendation import ALS
-
-    text = split.select(F.col(user).cast("string").alias("u"), F.col("item").cast("string").alias("i"), "split")
-    index = StringIndexer(inputCols=["u", "i"], outputCols=["un", "in"]).fit(text)
-    rows = index.transform(text)
-    train = rows.filter("split = 'train'").groupBy("un", "in").agg(F.count(F.lit(1)).cast("float").alias("r"))
-    model = ALS(userCol="un", itemCol="in", ratingCol="r", implicitPrefs=True, seed=seed, **({"rank": 16, "maxIter": 5} | params)).fit(train)
-    seen = rows.filter("split <> 'test'").select("un", "in").distinct()
-    most = seen.groupBy("un").count().agg(F.max("count")).first()[0] or 0
-    users = rows.filter("split = 'test'").select("un").distinct()
-    found = model.recommendForUserSubset(users, int(k + most)).select(F.col("un").cast("double").alias("un"), F.posexplode("recommendations").alias("p", "r"))
-    free = found.select("un", F.col("r.in").cast("double").alias("in"), "p").join(seen, ["un", "in"], "left_anti")
-    free = free.withColumn("rank", F.row_number().over(Window.partitionBy("un").orderBy("p"))).filter(F.col("rank") <= k)
-    names = rows.select("un", "u").distinct(), rows.select("in", "i").distinct()
-    return free.join(names[0], "un").join(names[1], "in").select(F.col("u").alias(user), F.col("i").alias("item"), "rank")
-
-
 def list_faults(topk: DataFrame, mask: DataFrame, user: str = "user_id") -> DataFrame:
     """One row of counts that must be 0: shadow items, masked items and repeated
     ranks in ranked lists."""

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ravelin.functions.seeds import seed_for
 from ravelin.operators import experiment as ex
 from ravelin.operators import stats
+from ravelin.operators.ranking import factor_topk
 from ravelin.operators.sequence import leave_one_out
 from ravelin.plans.registry import SPLIT, query
+from ravelin.sources.files import with_row_index
 from ravelin.sources.views import events_log, table
 
 _BROAD = "('gift_given', 'household', 'received')"
@@ -116,6 +118,41 @@ def popularity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.popularity_topk(_split(spark, sf_dir), 10)
 
 
+_FACTORS = """iv AS (SELECT item, e.embedding::DOUBLE[] AS iv FROM (SELECT item, row_number() OVER (ORDER BY item) - 1 AS place FROM (SELECT DISTINCT item FROM sp WHERE split = 'train' AND item IS NOT NULL)) JOIN embeddings e ON e.vec_id = place),
+uv AS (SELECT user_id, e.embedding::DOUBLE[] AS uv FROM (SELECT DISTINCT user_id FROM sp WHERE split = 'test') JOIN embeddings e ON e.vec_id = user_id % (SELECT count(*) FROM embeddings)),
+hid AS (SELECT user_id, item FROM sp WHERE split <> 'test' UNION SELECT user_id, item FROM sp WHERE split = 'train' AND (user_id, item) NOT IN (SELECT (user_id, item) FROM c1 WHERE split = 'train')),
+fs AS (SELECT user_id, item, round(list_inner_product(uv, iv), 6) AS score FROM uv CROSS JOIN iv ANTI JOIN hid USING (user_id, item)),
+ftop AS (SELECT * FROM (SELECT user_id, item, (row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item))::INT AS rank FROM fs) WHERE rank <= 10)"""
+
+
+def _by_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rankings by given factors: what a user has, and what C1 took from training, is
+    never ranked."""
+    sp = _split(spark, sf_dir)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    items = with_row_index(sp.filter("split = 'train' AND item IS NOT NULL").select("item").distinct(), "vec_id", ["item"]).join(e, "vec_id")
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    users = sp.filter("split = 'test'").select("user_id").distinct().crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("user_id") % F.col("n")).join(e, "vec_id")
+    hidden = sp.filter("split <> 'test'").select("user_id", "item").union(ex.eval_mask(sp, ex.condition(sp, "C1"))).distinct()
+    return factor_topk(users, items, 10, hidden, digits=6).drop("score")
+
+
+@query(f"WITH {SPLIT}, {_C1}, {_FACTORS} SELECT * FROM ftop")
+def factor_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_factors(spark, sf_dir)
+
+
+@query(f"""WITH {SPLIT}, ui AS (SELECT DISTINCT user_id, item FROM sp WHERE split = 'train'), pn AS (SELECT item, count(*) AS n FROM ui GROUP BY 1),
+co AS (SELECT x.item AS a, y.item AS b, count(*) AS c FROM ui x JOIN ui y ON x.user_id = y.user_id AND x.item <> y.item GROUP BY 1, 2),
+sm AS (SELECT a, b, c / sqrt((p.n * q.n)::DOUBLE) AS sim FROM co JOIN pn p ON a = p.item JOIN pn q ON b = q.item),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM sm) WHERE r <= 20),
+sc AS (SELECT user_id, b AS item, round(sum(sim), 9) AS score FROM ui JOIN nb ON ui.item = a GROUP BY 1, 2),
+rk AS (SELECT user_id, item, (row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item))::INT AS rank FROM sc ANTI JOIN (SELECT DISTINCT user_id, item FROM sp WHERE split <> 'test') USING (user_id, item))
+SELECT * FROM rk WHERE rank <= 10""")
+def cooccurrence_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ex.cooccurrence_topk(_split(spark, sf_dir), 10, neighbours=20).drop("score")
+
+
 def _metrics_sql(suffix: str, topk: str) -> str:
     out = []
     for k in (5, 10):
@@ -140,6 +177,11 @@ def peruser_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_user(sp, sp)
 
 
+@query(f"WITH {SPLIT}, {_C1}, {_FACTORS}, {_metrics_sql('', 'ftop')} SELECT * FROM m")
+def factor_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ex.metrics(_by_factors(spark, sf_dir), _split(spark, sf_dir).filter("split = 'test'"), (5, 10)))
+
+
 _TWO = f"{SPLIT}, {_C1}, {_C4}, {_POP.format(src='c1')}, {_metrics_sql('', 'topk')}, " + _POP.format(src="c4").replace("pc", "pc4").replace("seen", "seen4").replace("cand", "cand4").replace("topk", "topk4") + ", " + _metrics_sql("4", "topk4")
 
 
