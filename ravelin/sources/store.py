@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -47,3 +48,56 @@ def clean(spark: SparkSession) -> int:
     while _WRITTEN:
         n += remove(spark, _WRITTEN.pop())
     return n
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder of any store that Spark reaches is there."""
+    at, fs = _store(spark, path)
+    return bool(fs.exists(at))
+
+
+def put_json(spark: SparkSession, path: str, record: dict) -> None:
+    """Writes a small record: under another name first, so that it is whole or not there."""
+    at, fs = _store(spark, path)
+    new = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    out = fs.create(new, True)
+    out.write(bytearray(json.dumps(record, sort_keys=True).encode()))
+    out.close()
+    fs.delete(at, False)
+    if not fs.rename(new, at):
+        raise OSError(f"{path} can't be written")
+
+
+def get_json(spark: SparkSession, path: str) -> dict | None:
+    """A record that put_json() wrote, None if it isn't there."""
+    if not there(spark, path):
+        return None
+    return json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))  # one small file
+
+
+class Stale(RuntimeError):
+    """An output is there that was made from something else."""
+
+
+def write_made(df: DataFrame, path: str, made_from: dict, force: bool = False) -> bool:
+    """Writes df to path as Parquet with the record of what it is made from, unless the
+    same is there already; returns whether it wrote. Raises Stale if an output is there
+    that was made from something else, or without a record, and force is not given. A
+    broken-off write leaves no record and so never counts as made."""
+    spark, record = df.sparkSession, f"{path}.made.json"
+    found = get_json(spark, record)
+    if found == made_from and there(spark, path) and not force:
+        return False
+    if there(spark, path) and not force:
+        differs = sorted(k for k in {*made_from, *(found or {})} if (found or {}).get(k) != made_from.get(k))
+        raise Stale(f"{path.rsplit('/', 1)[-1]} was made from something else ({', '.join(differs) or 'unknown'}); remove it or force")
+    if found is not None:
+        remove(spark, record)
+    df.write.mode("overwrite").parquet(path)
+    put_json(spark, record, made_from)
+    return True
