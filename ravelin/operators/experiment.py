@@ -12,6 +12,8 @@ from ravelin.functions.labels import in_set
 from ravelin.functions.seeds import seed_for
 from ravelin.operators.ranking import als_topk, cooccurrence_topk  # noqa: F401
 from ravelin.operators.sampling import draw
+from ravelin.sources.files import with_row_index
+from ravelin.sources.store import cut
 
 SHADOW = "::gift"
 #: What each condition removes: the axis of labels; placebos name what they match.
@@ -130,6 +132,31 @@ def pairs_sha256(pairs: DataFrame, user: str = "user_id") -> DataFrame:
     return pairs.agg(F.sha2(F.array_join(F.transform(each, lambda s: F.concat(s["u"], F.lit("\t"), s["i"], F.lit("\n"))), "").cast("binary"), 256).alias("sha256"))
 
 
+#: Lines in a block of digested pairs.
+LINES = 10_000
+
+
+def pairs_digest(pairs: DataFrame, user: str = "user_id", lines: int = LINES) -> DataFrame:
+    """One row, n and sha256, equal for equal multisets of pairs under any partitioning:
+    the pairs in order of their texts are numbered, each block of `lines` of them is
+    digested by SHA-256 as a line a pair, and the digests, a line each in order, are
+    digested in blocks again until one is left. No pairs: the digest of nothing. No task
+    holds more than a block. Runs jobs."""
+    texts = pairs.select(F.col(user).cast("string").alias("u"), F.col("item").cast("string").alias("i"))
+    level = with_row_index(texts, "at", ["u", "i"]).select("at", F.concat(F.coalesce("u", F.lit("")), F.lit("\t"), F.coalesce("i", F.lit("")), F.lit("\n")).alias("line"))
+    n = level.count()
+    left = max(1, n)
+    while True:
+        block = level.groupBy(F.expr(f"`at` div {lines}").alias("at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "").alias("text"))
+        digests = block.select("at", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+        left = -(-left // lines)
+        if left == 1:
+            break
+        level = cut(digests.select("at", F.concat("sha256", F.lit("\n")).alias("line")))
+    one = digests.agg(F.max("sha256").alias("sha256"))  # a single row
+    return one.select(F.lit(n).cast("long").alias("n"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("sha256"))
+
+
 def list_faults(topk: DataFrame, mask: DataFrame, user: str = "user_id") -> DataFrame:
     """One row of counts that must be 0: shadow items, masked items and repeated
     ranks in ranked lists."""

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ravelin.sources.store import cut, mark, release
+
 
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], last: bool = False) -> DataFrame:
     """One row for each key: the first in the order, or the last."""
@@ -48,34 +50,81 @@ def density(df: DataFrame, key: str, k: int) -> DataFrame:
     )
 
 
-def k_core(df: DataFrame, k: int, user: str = "user_id", item: str = "item", most: int = 50, cut=None) -> tuple[DataFrame, list[tuple[int, int]]]:
+#: Users or items (a row each) that are broadcast at most.
+MAX_SENT = 500_000
+
+
+def k_core(df: DataFrame, k: int, user: str = "user_id", item: str = "item", most: int = 50) -> tuple[DataFrame, list[tuple[int, int]]]:
     """The rows whose users and items all keep k rows, and (pass, rows left) of
     every pass. Both degrees of a pass are counted on its own input; the pass
-    that changes nothing counts, one that leaves no row is the last. Each pass is
-    cut from its lineage (by default checkpointed where the session has a
-    folder for that, else cached). Runs jobs."""
-    cut = cut or _settled
-    rows, passes = cut(df), []
-    before = rows.count()
+    that changes nothing counts, one that leaves no row is the last. Rows without a
+    user or an item go in the first.
+
+    All degrees are counted once. After that a pass reads the rows of the users and
+    items that fell below k in the last one, and only what these rows touch is counted
+    down; a degree is its first count less what the passes took. The rows are written
+    once more whenever half of them are gone. Tables of the passes are removed at the
+    end. Runs jobs."""
+    spark, began = df.sparkSession, mark()
+    rows = cut(df)
+    none = F.col(user).isNull() | F.col(item).isNull()
+    whole = rows.filter(~none)
+    sides = (user, item)
+    degree = {c: cut(rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))) for c in sides}
+    taken: dict[str, list[DataFrame]] = {c: [] for c in sides}  # what passes took from a degree
+    low = {c: cut(degree[c].filter(F.col("n") < k).select(c)) for c in sides}
+    before = stored = left = rows.count()
+    alive, dead = whole, {c: [] for c in sides}  # rows as last written, and who went since
+    passes = []
     for number in range(1, most + 1):
-        users = rows.groupBy(user).count().filter(F.col("count") >= k).select(user)
-        items = rows.groupBy(item).count().filter(F.col("count") >= k).select(item)
-        rows = cut(rows.join(users, user, "left_semi").join(items, item, "left_semi"))
-        left = rows.count()
+        n_low = {c: low[c].count() for c in sides}
+        gone = None
+        if any(n_low.values()) or number == 1:
+            hit = alive if number > 1 else rows
+            for c in sides:
+                for some, n in dead[c]:
+                    hit = hit.join(_sent(some, n), c, "left_anti")
+            for c in sides:
+                hit = hit.join(_sent(low[c].withColumn(f"__low_{c}", F.lit(True)), n_low[c]), c, "left")
+            gone = cut(hit.filter(F.coalesce(*[F.col(f"__low_{c}") for c in sides], none)).select(*sides))
+            left -= gone.count()
         passes.append((number, left))
         if left == before or not left:
             break
         before = left
-    return rows, passes
+        for c in sides:
+            dead[c].append((low[c], n_low[c]))
+        for c in sides:
+            fell = cut(gone.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).join(low[c], c, "left_anti"))
+            taken[c].append(fell)
+            touched, n = fell.select(c), fell.count()
+            now = degree[c].join(_sent(touched, n), c, "left_semi")
+            for past in taken[c]:
+                now = now.unionAll(past.join(_sent(touched, n), c, "left_semi").select(c, (-F.col("n")).alias("n")))
+            low[c] = cut(now.groupBy(c).agg(F.sum("n").alias("n")).filter((F.col("n") < k) & (F.col("n") > 0)).select(c))
+        if left * 2 < stored:
+            alive, dead, stored = cut(_without(alive, dead)), {c: [] for c in sides}, left
+    rest = _without(alive, {c: [*dead[c], (low[c], low[c].count())] for c in sides}) if left else whole.limit(0)
+    out = cut(rest.select(*[F.col(f"`{c}`") for c in df.columns]))
+    release(spark, began, out)
+    return out, passes
+
+
+def _sent(some: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(some) if n <= MAX_SENT else some
+
+
+def _without(rows: DataFrame, dead: dict[str, list[tuple[DataFrame, int]]]) -> DataFrame:
+    """rows without those of the users and items that went."""
+    for c, lists in dead.items():
+        for some, n in lists:
+            rows = rows.join(_sent(some, n), c, "left_anti")
+    return rows
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    found = sc.getCheckpointDir()
-    if found is None and (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        sc.setCheckpointDir(folder)
-        found = folder
-    return df.checkpoint() if found else df.cache()
+    """df, written and read back: what is planned twice is made once."""
+    return cut(df)
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

@@ -223,6 +223,14 @@ def test_pairs_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.pairs_sha256(_split(spark, sf_dir).filter("split = 'test'").select("user_id", "item").distinct())
 
 
+@query(f"""WITH {SPLIT}, p AS (SELECT DISTINCT user_id::VARCHAR AS u, item FROM sp), o AS (SELECT *, row_number() OVER (ORDER BY u, item) - 1 AS n0 FROM p),
+b AS (SELECT n0 // 100 AS n1, sha256(string_agg(u || chr(9) || item || chr(10), '' ORDER BY n0)) AS d FROM o GROUP BY 1),
+c AS (SELECT n1 // 100 AS n2, sha256(string_agg(d || chr(10), '' ORDER BY n1)) AS d FROM b GROUP BY 1)
+SELECT (SELECT count(*) FROM p) AS n, CASE WHEN count(*) = 1 THEN any_value(d) ELSE sha256(string_agg(d || chr(10), '' ORDER BY n2)) END AS sha256 FROM c""")
+def pairs_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ex.pairs_digest(_split(spark, sf_dir).select("user_id", "item").distinct(), lines=100)
+
+
 @query("""WITH q AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT qid, vec_id, round(list_cosine_similarity(qe, embedding)::DOUBLE, 4) AS score FROM q, embeddings WHERE vec_id <> qid),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)

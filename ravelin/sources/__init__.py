@@ -15,5 +15,5 @@ from ravelin.sources.files import (  # noqa: F401
     write_parquet,
     write_tsv,
 )
-from ravelin.sources.store import Stale, clean, cut, get_json, put_json, remove, shared_dir, there, write_made  # noqa: F401
+from ravelin.sources.store import Stale, clean, cut, get_json, mark, put_json, release, remove, shared_dir, there, write_made  # noqa: F401
 from ravelin.sources.views import documents_log, events_log, orders_log, table  # noqa: F401

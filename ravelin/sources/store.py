@@ -41,6 +41,22 @@ def remove(spark: SparkSession, path: str) -> bool:
     return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
 
 
+def mark() -> int:
+    """Where the list of tables that cut() has written stands now."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> int:
+    """Removes the tables written since a mark() but those that `keep` read; returns
+    their number. For operators that write tables in a loop."""
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in keep for f in df.inputFiles()}
+    going = [p for p in _WRITTEN[since:] if p.rsplit("/", 1)[-1] not in kept]
+    for path in going:
+        _WRITTEN.remove(path)
+        remove(spark, path)
+    return len(going)
+
+
 def clean(spark: SparkSession) -> int:
     """Removes the tables that cut() has written, for when the results are stored;
     returns their number."""

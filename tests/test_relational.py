@@ -1,8 +1,12 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from ravelin.operators import relational as rel
 from ravelin.operators import sequence as seq
+from ravelin.sources import store
 
 
 def rows(df):
@@ -110,3 +114,32 @@ def test_expand(spark):
 def test_elapsed_days_are_not_calendar_days(spark):
     df = spark.sql("SELECT 1 AS user_id, 1 AS row_id, TIMESTAMP_NTZ '2024-01-01 02:00:00' AS ts UNION ALL SELECT 1, 2, TIMESTAMP_NTZ '2024-01-02 01:00:00' UNION ALL SELECT 1, 3, TIMESTAMP_NTZ '2024-01-03 01:00:00'")
     assert sorted((r["row_id"], r["gap_days"]) for r in seq.with_gap(df).collect()) == [(1, 0), (2, 1), (3, None)]
+
+
+def core_by_hand(pairs, k):
+    """Rows and passes, every degree counted anew in every pass."""
+    rows, passes, before = list(pairs), [], len(pairs)
+    while True:
+        u, i = Counter(r[0] for r in rows), Counter(r[1] for r in rows)
+        rows = [r for r in rows if None not in r and u[r[0]] >= k and i[r[1]] >= k]
+        passes.append((len(passes) + 1, len(rows)))
+        if len(rows) == before or not rows:
+            return sorted(rows), passes
+        before = len(rows)
+
+
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_k_core_by_deltas(spark, monkeypatch, sent):
+    monkeypatch.setattr(rel, "MAX_SENT", sent)
+    rng = random.Random(8)
+    chain = [(f"c{i}", f"d{i + j}") for i in range(12) for j in range(2)]  # falls apart link by link
+    pairs = [*chain, *((f"u{rng.randrange(40)}", f"i{int(rng.random() ** 2 * 30)}") for _ in range(220)), (None, "i1"), ("u1", None), ("u2", "i2"), ("u2", "i2")]
+    df = spark.createDataFrame(pairs, "user_id string, item string").withColumn("pad", F.lit(1))
+    for k in (2, 4) if sent else (4,):
+        before = store.mark()
+        core, passes = rel.k_core(df, k)
+        want, steps = core_by_hand(pairs, k)
+        assert passes == steps and sorted((r["user_id"], r["item"]) for r in core.collect()) == want
+        assert core.columns == df.columns and store.mark() == before + 1  # the passes' tables are gone
+    if sent:
+        assert rel.k_core(df.filter("user_id IS NULL"), 2)[1] == [(1, 0)]
