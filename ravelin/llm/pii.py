@@ -1,17 +1,21 @@
 """Personal data: four patterns, and a character tagger for what they miss.
 
 The tagger is a bidirectional LSTM over characters with a CRF above it, trained
-here in numpy on labelled spans: those that the patterns find in a bounded
-sample of text, as they stand and rewritten the ways people hide them (spaced,
-bracketed, dotted). It reads every region of every text around a digit, an at
-sign or a bracketed or dotted "at" in overlapping windows (an address written out
-without these, as in "jane at example.com", is not read); their emissions are averaged with weights that fall towards a window's
-edges, and one Viterbi pass over the whole region settles all windows at once.
-A decoded span is kept where no pattern span lies and its kind's digits allow it.
+here in numpy on labelled spans: those that the patterns find in a bounded sample of
+text, as they stand and rewritten the ways people hide them (spaced, bracketed,
+dotted), and invented values planted in that text. Text in which no pattern finds
+anything may hold hidden values, so it is never learnt as harmless: decoys (dates,
+prices, versions, numbers, hashes) first take the place of all that has digits or an
+at. The tagger reads every region of every text around a digit, an at sign, a
+bracketed "at" or "dot", or an "at" that a dotted name follows, in overlapping windows;
+their emissions are averaged with weights that fall towards a window's edges, and one
+Viterbi pass over the whole region settles all windows at once. A decoded span is kept
+where no pattern span lies and its kind's digits allow it. All digits look alike to it.
 
 Defined cases: null text is empty and has no spans; repeated rows are scanned
-each; if no text holds a span to learn from nothing is added; an empty table
-gives an empty result.
+each and tie with themselves; a text of any length is scanned whole, its regions one
+by one; other columns are not read, whatever their names; if no text holds a span to
+learn from nothing is added; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # leftmost:
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_TRIGGER = re.compile(r"\d|[@＠]|[(\[{<]\s?at\s?[)\]}>]|\sat\s\S+\sdot\s", re.IGNORECASE)
+_TRIGGER = re.compile(r"\d|[@＠]|[(\[{<]\s?(?:at|dot)\s?[)\]}>]|\sat\s\S+(?:\sdot\s|\.\w)|\sdot\s\w", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -176,7 +180,7 @@ class Tagger:
         both = np.concatenate((self._lstm(x, "f", False)[0], self._lstm(x, "b", False)[0]), axis=2)
         return both @ self.p["out"] + self.p["bias"]
 
-    def train(self, x: np.ndarray, y: np.ndarray, length: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02, batch: int = 64, seed: int = 11) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, length: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02, batch: int = 128, seed: int = 11) -> None:
         """Adam on the CRF's negative log likelihood."""
         order = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -333,41 +337,163 @@ def _allowed(kind: str, text: str) -> bool:
     return 8 <= len(d) <= 15 and not re.search("[A-Za-z]", text)
 
 
+#: How people hide an address: what they write for the at sign and for a dot.
+_AT_DOT = ((" (at) ", " (dot) "), (" [at] ", " [dot] "), (" @ ", " . "), (" at ", " dot "), ("(at)", "."), ("[at]", "[.]"), (" at ", "."), (" (at) ", "."), ("[at]", "[dot]"), ("＠", "."))
+_IP_DOT = (" . ", "[.]", ". ", " dot ", "(.)", "[dot]")
+_CARD_GAP = (".", " - ", "/", "  ", "_", "--")
+
+
 def _hidden(kind: str, text: str, how: int) -> str:
     """The span's text, rewritten the how-th way."""
     if kind == "email":
-        at = (" (at) ", " [at] ", " @ ", " at ")[how % 4]
-        dot = (" (dot) ", " [dot] ", " . ", " dot ")[how % 4]
+        at, dot = _AT_DOT[how % len(_AT_DOT)]
         name, _, host = text.partition("@")
         return name + at + host.replace(".", dot)
     if kind == "ip":
-        return text.replace(".", (" . ", "[.]", ". ", " dot ")[how % 4])
+        return text.replace(".", _IP_DOT[how % len(_IP_DOT)])
     d = _digits(text)
     if kind == "card":
-        return (".", " - ", "/", "  ")[how % 4].join(d[i : i + 4] for i in range(0, len(d), 4))
+        return _CARD_GAP[how % len(_CARD_GAP)].join(d[i : i + 4] for i in range(0, len(d), 4))
     tail = d[-10:]
-    return (f"({tail[:3]}) {tail[3:6]}-{tail[6:]}", f"{tail[:3]}-{tail[3:6]}-{tail[6:]}", f"{tail[:3]}.{tail[3:6]}.{tail[6:]}", f"00{d}")[how % 4]
+    forms = (f"({tail[:3]}) {tail[3:6]}-{tail[6:]}", f"{tail[:3]}-{tail[3:6]}-{tail[6:]}", f"{tail[:3]}.{tail[3:6]}.{tail[6:]}", f"{tail[:3]} {tail[3:6]} {tail[6:]}", f"({tail[:3]}){tail[3:6]}-{tail[6:]}")
+    return forms[how % len(forms)]
+
+
+def _decoy(r: np.random.Generator) -> str:
+    """What has digits or an at and is no personal data."""
+
+    def n(lo: int, hi: int) -> int:
+        return int(r.integers(lo, hi))
+
+    kind = n(0, 17)
+    day, month, year = n(1, 29), n(1, 13), n(1900, 2100)
+    if kind == 0:
+        return f"{year}-{month:02d}-{day:02d}"
+    if kind == 1:
+        return f"{day:02d}.{month:02d}.{year}"
+    if kind == 2:
+        return f"{month:02d}/{day:02d}/{year}"
+    if kind == 3:
+        return f"{year}-{month:02d}-{day:02d} {n(0, 24):02d}:{n(0, 60):02d}:{n(0, 60):02d}"
+    if kind == 4:
+        return f"{n(1990, 2010)}-{n(2010, 2030)}"
+    if kind == 5:
+        return f"{n(1, 900)},{n(0, 1000):03d}.{n(0, 100):02d}"
+    if kind == 6:
+        return f"{n(0, 20)}.{n(0, 20)}" + (f".{n(0, 20)}" if n(0, 2) else "")
+    if kind == 7:
+        return str(n(0, 10 ** n(1, 8)))
+    if kind == 8:
+        return str(n(10**7, 10 ** n(8, 16)))
+    if kind == 9:
+        return f"978-{n(0, 10)}-{n(10, 100)}-{n(100000, 1000000)}-{n(0, 10)}"
+    if kind == 10:
+        return f"{n(256, 999)}.{n(0, 999)}.{n(0, 999)}.{n(256, 999)}"
+    if kind == 11:
+        return "".join("0123456789abcdef"[i] for i in r.integers(0, 16, n(8, 41)))
+    if kind == 12:
+        return "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"[i] for i in r.integers(0, 62, n(8, 41)))
+    if kind == 13:
+        return f"{n(1, 100)} @ {n(1, 100)}.{n(0, 100):02d}"
+    if kind == 14:
+        return "@" + "".join("abcdefghijklmnopqrstuvwxyz"[i] for i in r.integers(0, 26, n(3, 12)))
+    if kind == 15:
+        return " - ".join(f"{n(0, 10000):04d}" for _ in range(2))
+    return f"({n(1, 100)}) {n(1, 1000)}"
+
+
+def _invented(kind: str, r: np.random.Generator, known: list[str]) -> str:
+    """A value of a kind as the patterns would find it; names are made of known words
+    or, one time in three, of letters, so that neither gives them away."""
+
+    def word(lo: int, hi: int) -> str:
+        if known and r.integers(3):
+            return known[int(r.integers(len(known)))]
+        return "".join("abcdefghijklmnopqrstuvwxyz"[i] for i in r.integers(0, 26, int(r.integers(lo, hi))))
+
+    if kind == "email":
+        many = int(r.integers(2))
+        name = ("", ".", "_", "-")[int(r.integers(4))].join(word(2, 9)[: 1 if many and not i and r.integers(2) else 12] for i in range(many + 1)) + ("", str(r.integers(1, 100)))[int(r.integers(4)) == 0]
+        labels = [("", "-")[int(r.integers(5)) == 0].join(word(2, 8) for _ in range(int(r.integers(1, 3)))) + ("", str(r.integers(10)))[int(r.integers(5)) == 0] for _ in range(int(r.integers(1, 3)))]
+        return f"{name}@{'.'.join(labels)}.{('com', 'org', 'net', 'de', 'co.uk', 'edu', word(2, 4))[int(r.integers(7))]}"
+    if kind == "ip":
+        return ".".join(str(x) for x in r.integers(0, (10, 100, 256, 256)[int(r.integers(4))], 4))
+    if kind == "card":
+        d = "".join(str(x) for x in r.integers(0, 10, 15))
+        return next(d + str(c) for c in range(10) if luhn(d + str(c)))
+    d = "".join(str(x) for x in r.integers(0, 10, 14))
+    forms = (f"+{d[:11]}", f"+{d[0]} ({d[1:4]}) {d[4:7]}-{d[7:11]}", f"+{d[:2]} {d[2:5]} {d[5:8]} {d[8:12]}", f"+{d[:2]}-{d[2:5]}-{d[5:12]}")
+    return forms[int(r.integers(len(forms)))]
+
+
+def _with_decoys(text: str, r: np.random.Generator) -> str:
+    """A text with another thing in the place of everything that has a digit or an at:
+    whatever stood there, known or not, is not learnt as harmless."""
+    bare = re.sub(r"\S*[@＠]\S*|[(\[{<]\s?(?:at|dot)\s?[)\]}>]|\s(?:at|dot)\s", " ", text, flags=re.IGNORECASE)
+    return re.sub(r"\S*\d\S*(?:\s+\S*\d\S*)*", lambda m: _decoy(r), bare)
+
+
+#: Kinds in planted texts: phone numbers, which look most like other numbers, twice.
+_OFTEN = ("email", "phone", "ip", "phone", "card", "email", "phone")
+
+
+def _planted(text: str, n: int, r: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
+    """A text with an invented value between two of its words, or one time in four with
+    three that few words part; each is hidden or (one time in four) plain. The n-th
+    has a kind of its own. About a window of the text is left, so that every step of
+    the fit sees a value."""
+    places = [0, *(m.end() for m in re.finditer(r"\s", text))]
+    at = places[int(r.integers(len(places)))]
+    new = text[max(0, at - int(r.integers(0, 45))) : at]
+    words = text[at:].split(" ")
+    known = re.findall("[a-z]{2,10}", text.lower())
+    spans = []
+    plain = n // len(_OFTEN) % 4 == 0
+    for i in range(1 if r.integers(4) else 3):
+        kind = _OFTEN[n % len(_OFTEN)] if i == 0 or r.integers(2) else KINDS[int(r.integers(len(KINDS)))]
+        shown = _invented(kind, r, known)
+        shown = shown if plain else _hidden(kind, shown, int(r.integers(60)))
+        spans.append((kind, len(new), len(new) + len(shown)))
+        few = int(r.integers(1, 3))
+        new += shown + (" ", ". ", ", ", "\n")[int(r.integers(4))] + " ".join(words[:few]) + " "
+        words = words[few:]
+    return new + " ".join(words)[: max(4, WINDOW - len(new))], spans
+
+
+#: Texts with a planted value that are made of all regions together.
+PLANTED = 3000
 
 
 def examples(texts: list[str]) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Labelled texts: each as it stands, and with its spans rewritten two ways."""
+    """Labelled texts: a region that has spans as it stands and with its spans
+    rewritten; and every region with decoys in the place of all that has digits or an
+    at, bare and with invented values planted in it. A region may hold hidden values
+    that no pattern finds, so none is learnt as it stands for having no spans."""
     out = []
+    r = np.random.default_rng(5)
+    planted = -(-PLANTED // max(1, len(texts)))
     for n, text in enumerate(texts):
         text = text[: 4 * WINDOW]
         spans = sorted(base_spans(text), key=lambda s: s[1])
         spans = [s for i, s in enumerate(spans) if not i or s[1] >= spans[i - 1][2]]
-        out.append((text, spans))
-        for how in range(4) if spans else ():
+        if spans:
+            out += [(text, spans)] * 3
+        for how in range(2) if spans else ():
             new, moved, at = "", [], 0
             for kind, a, b in spans:
                 new += text[at:a]
-                shown = _hidden(kind, text[a:b], how + n)
+                shown = _hidden(kind, text[a:b], int(r.integers(60)))
                 moved.append((kind, len(new), len(new) + len(shown)))
                 new, at = new + shown, b
             out.append((new + text[at:], moved))
             kind, a, b = moved[n % len(moved)]  # and that span with little about it
-            lo, hi = max([0, a - 3 * how, *(e for _, _, e in moved if e <= a)]), min([len(out[-1][0]), b + 12 - 3 * how, *(s for _, s, _ in moved if s >= b)])
+            lo, hi = max([0, a - 6 * how, *(e for _, _, e in moved if e <= a)]), min([len(out[-1][0]), b + 12 - 6 * how, *(s for _, s, _ in moved if s >= b)])
             out.append((out[-1][0][lo:hi], [(kind, a - lo, b - lo)]))
+        for i in range(planted + max(2, planted // 4)):
+            new = _with_decoys(text, r)
+            if base_spans(new):
+                continue
+            out.append(_planted(new, planted * n + i, r) if i < planted else (new[:WINDOW], []))
     return out
 
 
