@@ -189,6 +189,24 @@ def fleiss(df: DataFrame, raters: Sequence[str], least: int = 0) -> DataFrame:
     return p.crossJoin(pe).crossJoin(lost).select(F.when(F.col("classes") >= 2, (F.col("p") - e) / (1 - e)).alias("kappa"), "n_rows", "n_dropped")
 
 
+def kappa_by_class(df: DataFrame, raters: Sequence[str]) -> DataFrame:
+    """(label, n_ratings, kappa): Fleiss' kappa of each class against all others, over
+    rows that every rater labelled; null where all ratings are of the class. Rows in
+    which nobody names a class agree on it fully, so only the classes that a row has
+    are counted, a row for each."""
+    r = len(raters)
+    labels = F.array(*raters)
+    whole = df.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in raters)).select(labels.alias("__labels"))
+    each = whole.select(F.explode(F.transform(F.array_distinct("__labels"), lambda x: F.struct(x.alias("label"), F.size(F.filter("__labels", lambda y: y == x)).alias("k")))).alias("s")).select("s.label", "s.k")
+    k = F.col("k")
+    agree = (k * (k - 1) + (r - k) * (r - k - 1)) / F.lit(float(r * (r - 1)))
+    by = each.groupBy("label").agg(F.sum("k").alias("n_ratings"), F.sum(1 - agree).alias("apart"))
+    j = by.crossJoin(F.broadcast(whole.agg(F.count(F.lit(1)).alias("n"))))  # a single row
+    p = F.col("n_ratings") / (F.col("n") * r)
+    chance = p * p + (1 - p) * (1 - p)
+    return j.select("label", "n_ratings", ((1 - F.col("apart") / F.col("n") - chance) / F.nullif(1 - chance, F.lit(0.0))).alias("kappa"))
+
+
 def calibrated_rate(shares: DataFrame, ppv: DataFrame) -> DataFrame:
     """rate: the sum over labels of share times positive predictive value; null if
     a label with a share has no value."""

@@ -208,6 +208,14 @@ def fleiss_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select(F.round("kappa", 6).alias("kappa"), "n_rows", "n_dropped")
 
 
+@query(f"""WITH {_RATED}, l AS (SELECT doc_id, unnest([ref, pred, third]) AS label FROM rt), k AS (SELECT doc_id, label, count(*) AS k FROM l GROUP BY 1, 2),
+c AS (SELECT DISTINCT label FROM l), g AS (SELECT c.label, rt.doc_id, coalesce(k.k, 0) AS k FROM c CROSS JOIN rt LEFT JOIN k ON k.label = c.label AND k.doc_id = rt.doc_id),
+s AS (SELECT label, sum(k) AS n_ratings, avg((k * (k - 1) + (3 - k) * (2 - k)) / 6.0::DOUBLE) AS p, sum(k) / (3.0::DOUBLE * count(*)) AS q FROM g GROUP BY 1)
+SELECT label, n_ratings::BIGINT AS n_ratings, round((p - (q * q + (1 - q) * (1 - q))) / nullif(1 - (q * q + (1 - q) * (1 - q)), 0), 6) AS kappa FROM s""")
+def kappa_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.kappa_by_class(_rated(spark, sf_dir), ["ref", "pred", "third"]).withColumn("kappa", F.round("kappa", 6))
+
+
 @query(f"""WITH {_RATED}, {_CHECKED}, sh AS (SELECT pred AS label, count(*) / (SELECT count(*) FROM rt)::DOUBLE AS share FROM rt GROUP BY 1), pv AS (SELECT pred AS label, avg((ref = 'gift_given')::INT::DOUBLE) AS ppv FROM ck GROUP BY 1)
 SELECT round(CASE WHEN bool_or(share > 0 AND ppv IS NULL) THEN NULL ELSE sum(share * coalesce(ppv, 0)) END, 6) AS rate FROM sh LEFT JOIN pv USING (label)""")
 def calibrated_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
