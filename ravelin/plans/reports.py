@@ -101,11 +101,23 @@ def metric_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.consistency(per, told)
 
 
-@query("WITH " + _RUNS_SQL + ", x AS (SELECT user_id, ndcg_10, hit_10 FROM m_c1), y AS (SELECT user_id, ndcg_10, hit_10 FROM m_c41) SELECT (SELECT count(*) FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y)) AS only_first, (SELECT count(*) FROM (SELECT * FROM y EXCEPT ALL SELECT * FROM x)) AS only_second")
+def _differ_sql(kind: str, a: str, b: str) -> str:
+    one, two = (f"SELECT user_id, ndcg_10, hit_10 FROM {m}" for m in (a, b))
+    return f"SELECT '{kind}' AS kind, (SELECT count(*) FROM ({one} EXCEPT ALL {two})) AS only_first, (SELECT count(*) FROM ({two} EXCEPT ALL {one})) AS only_second"
+
+
+@query("WITH " + _RUNS_SQL + " " + _differ_sql("again", "m_c41", "m_c41") + " UNION ALL " + _differ_sql("other_seed", "m_c41", "m_c42") + " UNION ALL " + _differ_sql("stale", "m_c41", "m_c1"))
 def reproduction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A placebo's run against a second run of it over a log dealt otherwise, against
+    another seed's, and against a copy left by another condition."""
     sp = _split(spark, sf_dir)
-    a, b = (_per_user(sp, ex.condition(sp, c, 1)).select("user_id", "ndcg_10", "hit_10") for c in ("C1", "C4"))
-    return spark.createDataFrame([gates.reproduced(a, b)], "only_first long, only_second long")
+
+    def run(log: DataFrame, code: str, seed: int) -> DataFrame:
+        return _per_user(log, ex.condition(log, code, seed)).select("user_id", "ndcg_10", "hit_10")
+
+    first = rel._settled(run(sp, "C4", 1))
+    others = {"again": run(sp.repartition(7, "item"), "C4", 1), "other_seed": run(sp, "C4", 2), "stale": run(sp, "C1", 1)}
+    return spark.createDataFrame([(kind, *gates.reproduced(first, other).values()) for kind, other in others.items()], "kind string, only_first long, only_second long")
 
 
 _SO = f"{_HIST}, {_ONLY}, po AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, row_id) - 1 AS seq_pos, count(*) OVER (PARTITION BY user_id) AS seq_len FROM od), so AS (SELECT *, CASE WHEN seq_len - seq_pos = 1 THEN 'test' WHEN seq_len - seq_pos = 2 THEN 'valid' ELSE 'train' END AS split FROM po), so1 AS (SELECT * FROM so WHERE NOT (split = 'train' AND label = 'gift_given'))"
