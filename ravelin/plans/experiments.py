@@ -228,7 +228,7 @@ b AS (SELECT n0 // 100 AS n1, sha256(string_agg(u || chr(9) || item || chr(10),
 c AS (SELECT n1 // 100 AS n2, sha256(string_agg(d || chr(10), '' ORDER BY n1)) AS d FROM b GROUP BY 1)
 SELECT (SELECT count(*) FROM p) AS n, CASE WHEN count(*) = 1 THEN any_value(d) ELSE sha256(string_agg(d || chr(10), '' ORDER BY n2)) END AS sha256 FROM c""")
 def pairs_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ex.pairs_digest(_split(spark, sf_dir).select("user_id", "item").distinct(), lines=100)
+    return ex.pairs_digest(_split(spark, sf_dir).select("user_id", "item").distinct(), lines=100, steps=2)
 
 
 @query("""WITH q AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
