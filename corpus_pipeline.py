@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row, from the shard files."""
-    return wavelet.wavelet_query(docs)
+    return wavelet.wavelet_query(docs, kept_words=wavelet.FEW_WORDS)
 
 
 STAGES = [

@@ -94,7 +94,7 @@ def release() -> None:
 
 
 #: Rows in an Arrow batch of texts: a few megabytes on either side.
-TEXTS_AT_ONCE = 2000
+TEXTS_AT_ONCE = 500
 
 
 def short_batches(spark: SparkSession) -> None:

@@ -49,6 +49,9 @@ END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a Python worker keeps encoded (about 200 bytes each).
 KEPT_WORDS = 1_200_000
+#: The same beside other stages, whose memory a worker still holds: rare words are encoded
+#: more often.
+FEW_WORDS = 150_000
 #: Documents whose words are looked up together.
 DOCS_AT_ONCE = 5000
 #: Marks: a word that no space precedes, the end of a text, a text taken whole; and
@@ -325,14 +328,14 @@ class Encoder:
         return ids, np.diff(upto)
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, int, int], Encoder] = {}
 
 
-def encoder(path: str, end_id: int = END_ID) -> Encoder:
+def encoder(path: str, end_id: int = END_ID, kept: int = KEPT_WORDS) -> Encoder:
     """The worker's encoder for a vocabulary file; kept between tasks."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = Encoder(path, end_id)
-    return _ENCODERS[path, end_id]
+    if (path, end_id, kept) not in _ENCODERS:
+        _ENCODERS[path, end_id, kept] = Encoder(path, end_id, kept)
+    return _ENCODERS[path, end_id, kept]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -342,9 +345,9 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _shards(path: str, end_id: int, shard_tokens: int):
+def _shards(path: str, end_id: int, shard_tokens: int, kept_words: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, end_id)
+        enc = encoder(path, end_id, kept_words)
         part = TaskContext.get().partitionId()
         release()
         held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # ids, lengths, doc_ids
@@ -374,6 +377,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
                     if waiting >= shard_tokens:
                         yield close()
                         held, waiting, seq = [], 0, seq + 1
+                        release()
         if held:
             yield close()
         held = []
@@ -382,14 +386,15 @@ def _shards(path: str, end_id: int, shard_tokens: int):
     return write
 
 
-def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Encodes docs (doc_id, text) into shard files in the shared folder and
     returns their table: part, seq (both in doc_id order), n_docs, n_tokens,
-    image. Runs a job."""
+    image. kept_words: how many words a worker keeps encoded, which changes no id.
+    Runs a job."""
     n = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(rows.mapInArrow(_shards(path or vocabulary_path(), end_id, shard_tokens), "part int, seq int, n_docs long, n_tokens long, image binary"))
+    return cut(rows.mapInArrow(_shards(path or vocabulary_path(), end_id, shard_tokens, kept_words), "part int, seq int, n_docs long, n_tokens long, image binary"))
 
 
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -416,7 +421,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
     return found.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def wavelet_query(docs: DataFrame) -> DataFrame:
+def wavelet_query(docs: DataFrame, kept_words: int = KEPT_WORDS) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row of docs, as read back from
     the shard files. Runs a job."""
-    return read_documents(write_shards(docs))
+    return read_documents(write_shards(docs, kept_words=kept_words))

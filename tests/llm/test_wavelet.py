@@ -59,3 +59,13 @@ def test_defined_cases(spark):
     df = spark.createDataFrame([(None, "x"), (2, "b"), (2, "b"), (2, "a")], "doc_id long, text string")
     got = wv.wavelet_query(df).collect()
     assert sorted(r["start"] for r in got) == [0, 2, 4, 6] and [r["start"] for r in got if r["doc_id"] is None] == [0]
+
+
+def test_few_kept_words_change_nothing(spark):
+    texts = [" ".join(f"w{i * 37 + k}, x{k}." for k in range(40)) + "\nend" for i in range(60)] + [None, ""]
+    docs = documents(spark, texts)
+    enc = wv.Encoder(wv.vocabulary_path(), kept=200)
+    for i in range(0, 60, 5):
+        enc.encode(pa.array(texts[i : i + 5]))
+    assert len(enc.known) + len(enc.older) < 1200  # two generations, none of more than half and a batch
+    assert sorted(wv.wavelet_query(docs, kept_words=200).collect()) == sorted(wv.wavelet_query(docs).collect())
