@@ -115,8 +115,10 @@ def stratified(df: DataFrame, stratum: Column, total: int, seed: int, row_id: st
 
 
 def boost(pool: DataFrame, drawn: DataFrame, n: int, seed: int, row_id: str = "row_id") -> DataFrame:
-    """Up to n rows of the pool that are not among those drawn."""
-    return draw(pool.join(drawn.select(row_id), row_id, "left_anti"), F.lit("boost"), n, seed, row_id)
+    """Up to n rows of the pool that are not among those drawn. Runs jobs."""
+    gone = cut(drawn.select(row_id))  # a sample: the pool is not dealt for it
+    gone = F.broadcast(gone) if gone.count() <= MAX_SENT else gone
+    return draw(pool.join(gone, row_id, "left_anti"), F.lit("boost"), n, seed, row_id)
 
 
 def frames(df: DataFrame, stratum: Column, total: int, pools: Sequence[tuple[str, Column, int]], seed: int, row_id: str = "row_id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ravelin.functions import text as tx
 from ravelin.operators import sampling as sm
 from ravelin.plans.registry import DOC, OD, query
+from ravelin.sources.store import cut
 from ravelin.sources.views import documents_log, orders_log
 
 _ST = "month(ts) || '|' || label AS stratum"
@@ -43,8 +44,8 @@ mainf AS (SELECT d.row_id FROM d JOIN al USING (stratum) WHERE rn <= alloc)"""
 @query(f"""WITH {_MAIN}, b AS (SELECT row_id, row_number() OVER (ORDER BY md5('43|boost|' || row_id), row_id) AS rn FROM od WHERE label = 'gift_given' AND row_id NOT IN (SELECT row_id FROM mainf))
 SELECT 'main' AS frame, row_id FROM mainf UNION ALL SELECT 'boost', row_id FROM b WHERE rn <= 500""")
 def boost_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = orders_log(spark, sf_dir)
-    return sm.frames(log, _stratum(), 2000, [("boost", F.col("label") == "gift_given", 500)], 42).select("frame", "row_id")
+    log = cut(orders_log(spark, sf_dir).select("row_id", "label", _stratum().alias("of")))  # read in every pass of the draws
+    return sm.frames(log, F.col("of"), 2000, [("boost", F.col("label") == "gift_given", 500)], 42).select("frame", "row_id")
 
 
 @query(f"""WITH {DOC}, f AS (SELECT regexp_matches(lower(text), '\\bthe\\b') AS p, regexp_matches(lower(text), '\\bof\\b') AS s, regexp_matches(lower(text), '\\bthat\\b') AS r FROM doc)
