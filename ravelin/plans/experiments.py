@@ -94,7 +94,10 @@ def items_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SPLIT}, {_C4} SELECT (SELECT count(*) FROM (SELECT DISTINCT user_id, item FROM c4 EXCEPT SELECT DISTINCT user_id, item FROM sp)) = 0 AS subset_ok,
 (SELECT count(DISTINCT user_id) FROM sp) AS n_users, (SELECT count(DISTINCT user_id) FROM c4) AS n_users_after""")
 def universe_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sp = _split(spark, sf_dir)
+    return _universe(_split(spark, sf_dir))
+
+
+def _universe(sp: DataFrame) -> DataFrame:
     c4 = ex.condition(sp, "C4")
     outside = c4.select("user_id", "item").distinct().subtract(sp.select("user_id", "item")).agg((F.count(F.lit(1)) == 0).alias("subset_ok"))
     return outside.crossJoin(sp.agg(F.count_distinct("user_id").alias("n_users"))).crossJoin(c4.agg(F.count_distinct("user_id").alias("n_users_after")))
@@ -203,7 +206,10 @@ w AS (SELECT rep, x, {' + '.join(f'(u >= {t!r}::DOUBLE)::INT' for t in _THRESHOL
 s AS (SELECT rep, sum(w * x) / nullif(sum(w), 0) AS m FROM w GROUP BY 1)
 SELECT round((SELECT avg(x) FROM d), 6) AS diff, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM s""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sp = _split(spark, sf_dir)
+    return _bootstrap(_split(spark, sf_dir))
+
+
+def _bootstrap(sp: DataFrame) -> DataFrame:
     a, b = (_per_user(sp, ex.condition(sp, c)) for c in ("C1", "C4"))
     d = a.select("user_id", F.col("ndcg_10").alias("x")).join(b.select("user_id", F.col("ndcg_10").alias("y")), "user_id").select("user_id", (F.col("x") - F.col("y")).alias("x"))
     ci = stats.bootstrap_mean(d, "user_id", "x", replicates=200, seed=42)

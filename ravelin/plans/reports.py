@@ -18,6 +18,7 @@ from ravelin.operators import validation as va
 from ravelin.plans.experiments import _BROAD, _C1, _C1B, _C3, _POP, _metrics_sql, _per_user, _split
 from ravelin.plans.measures import _HIST, _ONLY, _RATED, _history, _hit, _rated
 from ravelin.plans.registry import DOC, EV, OD, ORACLES, SPLIT, query
+from ravelin.sources.store import cut
 from ravelin.sources.views import documents_log, events_log, orders_log, table
 
 _SEEDS = (1, 2)
@@ -44,8 +45,13 @@ _RUNS_SQL = ",\n".join(
 )
 
 
+def _stored_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What conditions and runs read of the split log, ordered and written once."""
+    return cut(_split(spark, sf_dir).select("user_id", "item", "row_id", "label", "split"))
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> dict[tuple[str, int], DataFrame]:
-    sp = _split(spark, sf_dir)
+    sp = _stored_split(spark, sf_dir)
     one = {c: rel._settled(_per_user(sp, ex.condition(sp, c))) for c in ("C0", "C1", "C1b", "C3")}
     runs = {(c, s): df for c, df in one.items() for s in _SEEDS}
     return runs | {(c, s): rel._settled(_per_user(sp, ex.condition(sp, c, s))) for c in ("C4", "C4b") for s in _SEEDS}
@@ -110,13 +116,13 @@ def _differ_sql(kind: str, a: str, b: str) -> str:
 def reproduction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A placebo's run against a second run of it over a log dealt otherwise, against
     another seed's, and against a copy left by another condition."""
-    sp = _split(spark, sf_dir)
+    sp = _stored_split(spark, sf_dir)
 
     def run(log: DataFrame, code: str, seed: int) -> DataFrame:
         return _per_user(log, ex.condition(log, code, seed)).select("user_id", "ndcg_10", "hit_10")
 
     first = rel._settled(run(sp, "C4", 1))
-    others = {"again": run(sp.repartition(7, "item"), "C4", 1), "other_seed": run(sp, "C4", 2), "stale": run(sp, "C1", 1)}
+    others = {"again": run(sp.repartition("row_id"), "C4", 1), "other_seed": run(sp, "C4", 2), "stale": run(sp, "C1", 1)}
     return spark.createDataFrame([(kind, *gates.reproduced(first, other).values()) for kind, other in others.items()], "kind string, only_first long, only_second long")
 
 
@@ -140,10 +146,10 @@ def m2_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _excess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _history(spark, sf_dir)
-    buckets = mk.gift_buckets(h, _hit(), F.col("label") == "self", mk.gift_only(h, _hit()))
-    sp = seq.leave_one_out(orders_log(spark, sf_dir))
+    sp = cut(seq.leave_one_out(orders_log(spark, sf_dir)).select("user_id", "item", "label", "split", "seq_pos"))  # joined and ordered once
     items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.col("p_type").alias("subcat"))
+    h = cut(sp.join(items, "item").select("user_id", "subcat", "label", F.col("seq_pos").alias("ts"), F.lit(0).alias("row_id")))  # places order a user's rows as times do
+    buckets = cut(mk.gift_buckets(h, _hit(), F.col("label") == "self", mk.gift_only(h, _hit())))
     return mk.excess_points(buckets, *[ex.popularity_topk(ex.condition(sp, c), 10) for c in ("C0", "C1")], items, 10)
 
 
@@ -285,10 +291,10 @@ SELECT CASE WHEN NOT subset_ok OR lo > 0 OR cv >= 0.1 THEN 'FAIL' ELSE 'PASS' EN
 def gate_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.plans import experiments
 
-    sp = _split(spark, sf_dir)
+    sp = _stored_split(spark, sf_dir)
     tests = {ex.pairs_hash(ex.condition(sp, c).filter("split = 'test'").select("user_id", "item")).first()["hash"] for c in ("C0", "C1", "C1b", "C3", "C4")}
-    ok = experiments.universe_check(spark, sf_dir).first()["subset_ok"]
-    lo = experiments.bootstrap_ci(spark, sf_dir).first()["lo"]
+    ok = experiments._universe(sp).first()["subset_ok"]
+    lo = experiments._bootstrap(sp).first()["lo"]
     means = [_per_user(sp, ex.condition(sp, "C4", s)).agg(F.avg("ndcg_10")).first()[0] for s in _SEEDS]
     middle = sum(means) / len(means)
     cv = (sum((m - middle) ** 2 for m in means) / (len(means) - 1)) ** 0.5 / middle
