@@ -27,6 +27,8 @@ HEAVY = 200
 BLOCK, SALTS = 512, 32
 #: Rows of a side that is broadcast at most.
 MAX_SENT = 100_000
+#: Pairs of users and items in a task that scores them, about: each meets many neighbours.
+PAIRS_AT_ONCE = 250_000
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -154,6 +156,9 @@ def cooccurrence_topk(split: DataFrame, k: int, most_per_user: int | None = None
         return F.broadcast(df) if few else df
 
     pairs = cut(ui.join(sent(items.select("item", "at")), "item").select(user, "at"))
+    # Pairs take few bytes, so the engine would put very many in a task: a number is given.
+    tasks = max(int(split.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // PAIRS_AT_ONCE))
+    pairs = pairs.repartition(tasks, user)
     co = common_users(pairs, user)
     for side in "ab":
         co = co.join(sent(items.select(F.col("at").alias(side), F.col("n").alias(f"n{side}"))), side)
@@ -161,6 +166,8 @@ def cooccurrence_topk(split: DataFrame, k: int, most_per_user: int | None = None
     if neighbours is not None:
         turn = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
         sim = sim.withColumn("__r", turn).filter(F.col("__r") <= neighbours).drop("__r")
+    if few and neighbours is not None and items.count() * neighbours <= MAX_SENT:
+        sim = F.broadcast(sim)  # users stay where they are
     score = pairs.withColumnRenamed("at", "a").join(sim, "a").groupBy(user, "b").agg(F.sum("sim").alias("score"))
     seen = split.filter("split <> 'test'").select(user, "item").distinct()
     score = score.join(sent(items.select(F.col("at").alias("b"), "item")), "b").join(seen, [user, "item"], "left_anti")
