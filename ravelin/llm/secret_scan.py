@@ -7,12 +7,13 @@ symbols: chi-squared of the symbol counts, runs above and below the middle, and
 lag-one serial correlation; Fisher's method combines them. Prose is no uniform
 randomness, and how random prose looks by chance at a given length is measured:
 all letter-only runs of one case in the whole corpus give the null counts, by
-length class and score bin. Prose hardly has words of 20 letters, so each document
-adds up to `JOINED` pieces a class, spread over it, of its words written without
-the gaps; they have the least length of the class, where prose looks most random. A run that is not prose gets the share of null runs of its
-class that look at least as random as its p-value, and Benjamini-Hochberg at
-rate `FDR` decides within each length class. Runs that hold under `MIN_BITS` bits
-are no candidates.
+length class and score bin. Prose hardly has words of 20 letters, so the words of
+each document, written without the gaps, are also cut into pieces from end to end,
+once for each class, at its least length, where prose looks most random; every
+letter is in one, but in documents with fewer letters than a piece has. A run that
+is not prose gets the share of null runs of its class that look at least as random
+as its p-value, and Benjamini-Hochberg at rate `FDR` decides within each length
+class. Runs that hold under `MIN_BITS` bits are no candidates.
 
 Defined cases: null text is empty and has no spans; repeated rows are scanned
 each; a length class with too few null runs for any p-value to reach the rate
@@ -44,10 +45,9 @@ FDR = 0.01
 MIN_BITS = 64
 #: Length classes begin at these lengths.
 LENGTHS = (16, 20, 24, 32, 48)
-#: Null runs of joined words that a document gives to each length class at most.
-JOINED = 4
 BINS = 240
 _PER_E = 8  # bins for each power of e of the combined p-value
+_LETTERS_AT_ONCE = 1 << 18  # bounds what a worker holds of joined words, not what it reads
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -95,6 +95,25 @@ def _two_sided(z: np.ndarray) -> np.ndarray:
     return np.clip(poly * np.exp(-x * x), 1e-30, 1)
 
 
+def _combined(n, size, squares, n1, turns, var, lag) -> np.ndarray:
+    """The combined p-value of runs of n symbols out of size, from the sum of squared
+    symbol counts, the symbols above the middle, the turns across it, and the sums of
+    squares and of neighbours' products about the mean."""
+    chi = squares * size / n - n
+    df = size - 1
+    wilson = ((np.maximum(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df))
+    half = _two_sided(wilson) / 2
+    p1 = np.where(wilson > 0, half, 1 - half)
+    n0 = n - n1
+    mean = 2 * n1 * n0 / n + 1
+    wide = np.maximum((mean - 1) * (mean - 2) / np.maximum(n - 1, 1), 1e-9)
+    p2 = np.where((n1 > 0) & (n0 > 0), _two_sided((turns - mean) / np.sqrt(wide)), 1e-6)
+    r = lag / np.maximum(var, 1e-9)
+    p3 = np.where(var > 0, _two_sided((r + 1 / n) * np.sqrt(n)), 1e-6)
+    x = -(np.log(np.maximum(p1, 1e-30)) + np.log(np.maximum(p2, 1e-30)) + np.log(np.maximum(p3, 1e-30)))
+    return np.exp(-x) * (1 + x + x * x / 2)
+
+
 def battery(runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For ASCII strings: the combined p-value against uniform symbols of the
     inferred encoding, and the bits that such a string holds."""
@@ -115,28 +134,17 @@ def battery(runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         mine = fits[who]
         code[mine] = c[mine]
     counts = np.bincount(who * 64 + code, minlength=64 * len(runs)).reshape(-1, 64)
-    chi = (counts.astype(float) ** 2).sum(1) * size / n - n
-    df = size - 1
-    wilson = ((np.maximum(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df))
-    half = _two_sided(wilson) / 2
-    p1 = np.where(wilson > 0, half, 1 - half)
     up = code * 2 >= size[who]
     n1 = np.bincount(who, up, minlength=len(runs))
-    n0 = n - n1
     same = np.zeros(len(raw), bool)
     same[1:] = (up[1:] != up[:-1]) & (who[1:] == who[:-1])
     turns = np.bincount(who, same, minlength=len(runs)) + 1
-    mean = 2 * n1 * n0 / n + 1
-    var = np.maximum((mean - 1) * (mean - 2) / np.maximum(n - 1, 1), 1e-9)
-    p2 = np.where((n1 > 0) & (n0 > 0), _two_sided((turns - mean) / np.sqrt(var)), 1e-6)
     mid = code - np.bincount(who, code, minlength=len(runs))[who] / n[who]
     var = np.bincount(who, mid * mid, minlength=len(runs))
     prod = np.zeros(len(raw))
     prod[1:] = np.where(who[1:] == who[:-1], mid[1:] * mid[:-1], 0)
-    r = np.bincount(who, prod, minlength=len(runs)) / np.maximum(var, 1e-9)
-    p3 = np.where(var > 0, _two_sided((r + 1 / n) * np.sqrt(n)), 1e-6)
-    x = -(np.log(np.maximum(p1, 1e-30)) + np.log(np.maximum(p2, 1e-30)) + np.log(np.maximum(p3, 1e-30)))
-    return np.exp(-x) * (1 + x + x * x / 2), n * np.log2(np.maximum(size, 2))
+    lag = np.bincount(who, prod, minlength=len(runs))
+    return _combined(n, size, (counts.astype(float) ** 2).sum(1), n1, turns, var, lag), n * np.log2(np.maximum(size, 2))
 
 
 def bins(p: np.ndarray) -> np.ndarray:
@@ -144,20 +152,53 @@ def bins(p: np.ndarray) -> np.ndarray:
     return np.minimum(BINS - 1, (-np.log(np.maximum(p, 1e-30)) * _PER_E)).astype(np.int64)
 
 
-def joined_words(text: str) -> list[str]:
-    """Pieces of the text's words without the gaps, of each class's least length."""
-    prose = "".join(WORD.findall(text)).lower()
-    out = []
-    for n in LENGTHS:
-        k = min(JOINED, len(prose) // n)
-        out += [prose[at : at + n] for at in (i * len(prose) // k for i in range(k))]
+def joined_words(text: str) -> str:
+    """The text's words without the gaps, in small letters."""
+    return "".join(WORD.findall(text)).lower()
+
+
+def piece_p(pieces: np.ndarray) -> np.ndarray:
+    """What battery gives for runs of a-z of one length, a row of codes from 0 each."""
+    k, n = pieces.shape
+    c = pieces.astype(np.int64)
+    counts = np.bincount((c + 26 * np.arange(k)[:, None]).ravel(), minlength=26 * k).reshape(k, 26)
+    size = np.where(c.max(1) < 6, 16, 26)  # a-f alone are hex, and all above its middle
+    up = c >= 13
+    turns = (up[:, 1:] != up[:, :-1]).sum(1) + 1
+    total, mean = c.sum(1), c.mean(1)
+    var = (n * np.einsum("ij,ij->i", c, c) - total * total) / n
+    lag = np.einsum("ij,ij->i", c[:, 1:], c[:, :-1]) - mean * (2 * total - c[:, 0] - c[:, -1]) + (n - 1) * mean * mean
+    return _combined(n, size, np.einsum("ij,ij->i", counts, counts), up.sum(1), turns, var, lag)
+
+
+def joined_counts(proses: list[str]) -> np.ndarray:
+    """Null counts by length class and bin of all pieces of the given joined words.
+    A text's last piece ends with it, so each letter is in a piece of every class
+    that the text is long enough for."""
+    out = np.zeros((len(LENGTHS), BINS), np.int64)
+    size = np.fromiter(map(len, proses), np.int64, len(proses))
+    begin = np.cumsum(size) - size
+    codes = np.frombuffer("".join(proses).encode("ascii"), np.uint8) - 97
+    for i, n in enumerate(LENGTHS):
+        k = np.where(size >= n, -(-size // n), 0)
+        if not k.any():
+            continue
+        nth = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        at = np.repeat(begin, k) + np.minimum(nth * n, np.repeat(size - n, k))
+        windows = np.lib.stride_tricks.sliding_window_view(codes, n)
+        for lo in range(0, len(at), _LETTERS_AT_ONCE // n):
+            p = piece_p(windows[at[lo : lo + _LETTERS_AT_ONCE // n]])
+            out[i] += np.bincount(bins(p), minlength=BINS)
     return out
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         texts = b["text"].fillna("").tolist()
-        out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base", "starts", "ends", "cells", "null")}
+        out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base", "starts", "ends", "cells")}
+        null = np.zeros((len(LENGTHS), BINS), np.int64)
+        proses: list[str] = []
+        letters = 0
         runs: list[str] = []
         where: list[tuple[int, int]] = []
         for i, t in enumerate(texts):
@@ -168,26 +209,33 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for m in RUN.finditer(t):
                 runs.append(m[0])
                 where.append((i, m.start()))
-            more = joined_words(t)
-            runs += more
-            where += [(i, -1)] * len(more)
+            proses.append(joined_words(t))
+            letters += len(proses[-1])
+            if letters >= _LETTERS_AT_ONCE:
+                null += joined_counts(proses)
+                proses, letters = [], 0
+        null = (null + joined_counts(proses)).ravel()
         p, held = battery(runs)
         cell = np.searchsorted(LENGTHS, [len(r) for r in runs], side="right") - 1 if runs else np.zeros(0, int)
         cell = cell * BINS + bins(p)
-        rows = [([], [], [], []) for _ in texts]
+        rows = [([], [], []) for _ in texts]
         for (i, at), run, c, bits in zip(where, runs, cell.tolist(), held.tolist(), strict=True):
             if PROSE.fullmatch(run):
-                rows[i][3].append(c)
+                null[c] += 1
             elif bits >= MIN_BITS:
                 rows[i][0].append(at)
                 rows[i][1].append(at + len(run))
                 rows[i][2].append(c)
-        for k, name in enumerate(("starts", "ends", "cells", "null")):
+        for k, name in enumerate(("starts", "ends", "cells")):
             out[name] = [r[k] for r in rows]
+        filled = np.flatnonzero(null)
+        out["null"] = [filled.tolist() if i == 0 else [] for i in range(len(texts))]
+        out["times"] = [null[filled].tolist() if i == 0 else [] for i in range(len(texts))]
         yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), **out})
 
 
-_SCAN = "doc_id long, n_assign long, n_access long, n_hex long, base string, starts array<int>, ends array<int>, cells array<int>, null array<int>"
+#: null and times are the cells of a whole batch's null runs and their counts, on its first row.
+_SCAN = "doc_id long, n_assign long, n_access long, n_hex long, base string, starts array<int>, ends array<int>, cells array<int>, null array<int>, times array<long>"
 
 
 def accepted(null: np.ndarray, seen: np.ndarray, rate: float = FDR) -> np.ndarray:
@@ -211,10 +259,11 @@ def scan(docs: DataFrame, rate: float = FDR) -> DataFrame:
     added (array of start, end of the battery's spans). Runs jobs; the driver
     gets counts by cell, at most 2 * len(LENGTHS) * BINS rows."""
     first = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_scan, _SCAN))
-    both = first.select(F.explode("null").alias("cell"), F.lit(0).alias("side")).unionAll(first.select(F.explode("cells").alias("cell"), F.lit(1).alias("side")))
+    null = first.select(F.explode(F.arrays_zip("null", "times")).alias("z")).select(F.lit(0).alias("side"), F.col("z.null").alias("cell"), "z.times")
+    seen = first.select(F.lit(1).alias("side"), F.explode("cells").alias("cell"), F.lit(1).cast("long").alias("times"))
     counts = np.zeros((2, len(LENGTHS) * BINS), np.int64)
-    for r in both.groupBy("side", "cell").count().collect():
-        counts[r["side"], r["cell"]] = r["count"]
+    for r in null.unionAll(seen).groupBy("side", "cell").agg(F.sum("times").alias("n")).collect():
+        counts[r["side"], r["cell"]] = r["n"]
     ok = accepted(*counts.reshape(2, len(LENGTHS), BINS), rate).ravel()
     good = F.array(*[F.lit(int(c)) for c in np.flatnonzero(ok)]).cast("array<int>")
     zipped = F.arrays_zip("starts", "ends", "cells")

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 
 from ravelin.llm import secret_scan as ss
 from tests.llm.helpers import documents
@@ -94,5 +95,34 @@ def test_thin_null_is_not_used():
     assert ss.accepted(null, seen)[3, 0]
 
 
+def test_all_joined_words_count():
+    short = [w for w in WORDS if len(w) < 16]
+    texts = [" ".join(R.choice(short) for _ in range(n)) for n in (0, 1, 4, 9, 60, 3000, 90000)] + ["Fade Cafe 12 x_y " * 40, None, "a" * 17, "Q" * 50]
+    want = np.zeros((len(ss.LENGTHS), ss.BINS), int)
+    for t in filter(None, texts):
+        prose = ss.joined_words(t)
+        assert prose == "".join(w for w in t.lower().split() if w.isalpha())
+        for i, n in enumerate(ss.LENGTHS):
+            places = list(range(0, len(prose) - n + 1, n))
+            if places and places[-1] + n < len(prose):
+                places.append(len(prose) - n)
+            want[i] += np.bincount(ss.bins(ss.battery([prose[at : at + n] for at in places])[0]), minlength=ss.BINS)
+    got = ss.joined_counts([ss.joined_words(t or "") for t in texts])
+    assert (got == want).all() and want.sum() > 50000
+    for run in ("a" * 17, "Q" * 50):  # also runs that stand in a text count
+        want[np.searchsorted(ss.LENGTHS, len(run), side="right") - 1, ss.bins(ss.battery([run])[0])] += 1
+    (out,) = ss._scan([pd.DataFrame({"doc_id": range(len(texts)), "text": texts})])
+    cells = np.bincount(np.concatenate(out["null"]).astype(int), np.concatenate(out["times"]), len(ss.LENGTHS) * ss.BINS)
+    assert (cells == want.ravel()).all()
+
+
+def test_one_long_text_gives_the_null(spark):
+    short = [w for w in WORDS if len(w) < 16]
+    secret = token(40, B62)
+    words = " ".join(R.choice(short) for _ in range(4000))
+    got = ss.secrets_query(documents(spark, [f"{words} {secret} {words}"])).collect()
+    assert got[0]["spans"] == f"random:{len(words) + 1}:{len(words) + 41}"
+
+
 def test_empty(spark):
     assert ss.secrets_query(documents(spark, ["a"]).limit(0)).count() == 0
